@@ -30,4 +30,5 @@ def load_all() -> None:
     """Import every plan module so that its queries register."""
     from flowlens.plans import (  # noqa: F401
         q_quality,
+        q_stats,
     )
