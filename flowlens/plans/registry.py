@@ -31,4 +31,5 @@ def load_all() -> None:
     from flowlens.plans import (  # noqa: F401
         q_quality,
         q_stats,
+        q_prepare,
     )

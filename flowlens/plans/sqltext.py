@@ -48,3 +48,27 @@ def with_clean(body: str, extra_ctes: str = "") -> str:
     if extra_ctes:
         ctes += ",\n" + extra_ctes
     return f"WITH {ctes}\n{body}"
+
+
+def hash_sql(cols: list[str], seed: int = 42) -> str:
+    from flowlens.functions.exprs import row_hash_sql
+
+    return row_hash_sql([(n, n != LABEL) for n in cols], seed)
+
+
+def prepared_ctes() -> str:
+    """CTEs after cleaning: exact split (flows_split), label map (lmap), encoded rows (flows_enc)."""
+    cols = [LABEL] + CLEAN_FEATURES
+    return f"""
+split_h AS (SELECT *, {hash_sql(cols)} AS _h FROM flows_clean),
+split_r AS (SELECT *, row_number() OVER (PARTITION BY {LABEL} ORDER BY _h) - 1 AS _rank, count(*) OVER (PARTITION BY {LABEL}) AS _n FROM split_h),
+flows_split AS (SELECT {", ".join(cols)}, CASE WHEN _rank < (_n * 70) // 100 THEN 'train' WHEN _rank < (_n * 85) // 100 THEN 'valid' ELSE 'test' END AS split FROM split_r),
+lmap AS (SELECT {LABEL} AS label, CAST(row_number() OVER (ORDER BY {LABEL}) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT {LABEL} FROM flows_clean)),
+flows_enc AS (SELECT s.*, m.idx AS label_idx FROM flows_split s JOIN lmap m ON s.{LABEL} = m.label)"""
+
+
+def with_prepared(body: str, extra_ctes: str = "") -> str:
+    ctes = prepared_ctes()
+    if extra_ctes:
+        ctes += ",\n" + extra_ctes
+    return with_clean(body, ctes)
