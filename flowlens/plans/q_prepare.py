@@ -9,6 +9,7 @@ from flowlens.operators import prepare as P
 from flowlens.plans.fixtures import CLEAN_FEATURES, LABEL
 from flowlens.plans.q_quality import flows_clean
 from flowlens.plans.registry import register
+from flowlens.plans.stages import stage
 from flowlens.plans.sqltext import hash_sql, with_prepared
 
 COLS = [LABEL] + CLEAN_FEATURES
@@ -16,13 +17,17 @@ SAMPLE_SIZE = 1000
 
 
 def flows_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.stratified_split(flows_clean(spark, sf_dir), LABEL)
+    return flows_enc(spark, sf_dir).drop("label_idx")
 
 
 def flows_enc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned, split and encoded flows (``label_idx``)."""
-    clean = flows_clean(spark, sf_dir)
-    return P.label_encode(P.stratified_split(clean, LABEL), LABEL, P.label_mapping(clean, LABEL))
+    """Cleaned, split and encoded flows (``label_idx``), a written stage."""
+
+    def build() -> DataFrame:
+        clean = flows_clean(spark, sf_dir)
+        return P.label_encode(P.stratified_split(clean, LABEL), LABEL, P.label_mapping(clean, LABEL))
+
+    return stage(spark, "flows_enc", sf_dir, build)
 
 
 def split_part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +41,15 @@ def q_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("split_xy", with_prepared(f"SELECT {', '.join(CLEAN_FEATURES)}, label_idx FROM flows_enc"))
 def q_split_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = P.split_xy(flows_enc(spark, sf_dir).drop(LABEL, "split"), "label_idx")
-    return flows_enc(spark, sf_dir).select(*x.columns, *y.columns)
+    enc = flows_enc(spark, sf_dir)
+    x, y = P.split_xy(enc.drop(LABEL, "split"), "label_idx")
+    return enc.select(*x.columns, *y.columns)
 
 
 @register("stratified_split", with_prepared(f"SELECT {', '.join(COLS)}, split FROM flows_split"))
 def q_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_split(spark, sf_dir)
+    """Computes the split itself (not the written stage)."""
+    return P.stratified_split(flows_clean(spark, sf_dir), LABEL)
 
 
 _SAMPLE_CTES = f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import quality as Q
 from flowlens.plans.fixtures import CLEAN_FEATURES, FEATURES, FLOWS_CONSTANT, FLOWS_SQL, LABEL, flows
 from flowlens.plans.registry import register
+from flowlens.plans.stages import stage
 from flowlens.plans.sqltext import _rare_list, label_norm_sql, with_clean
 
 ALL = [LABEL] + FEATURES
@@ -19,8 +20,8 @@ def flows_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned flows in the reference order of steps."""
-    return Q.clean(flows_in(spark, sf_dir), LABEL, Q.RARE_CLASSES, FLOWS_CONSTANT)
+    """Cleaned flows in the reference order of steps (a written stage)."""
+    return stage(spark, "flows_clean", sf_dir, lambda: Q.clean(flows_in(spark, sf_dir), LABEL, Q.RARE_CLASSES, FLOWS_CONSTANT))
 
 
 def _cols(names: list[str]) -> str:

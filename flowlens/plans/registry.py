@@ -32,4 +32,5 @@ def load_all() -> None:
         q_quality,
         q_stats,
         q_prepare,
+        q_eval,
     )
