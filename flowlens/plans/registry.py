@@ -33,4 +33,5 @@ def load_all() -> None:
         q_stats,
         q_prepare,
         q_eval,
+        q_attr,
     )
