@@ -34,4 +34,5 @@ def load_all() -> None:
         q_prepare,
         q_eval,
         q_attr,
+        q_score,
     )
