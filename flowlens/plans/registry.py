@@ -35,4 +35,5 @@ def load_all() -> None:
         q_eval,
         q_attr,
         q_score,
+        q_model,
     )
