@@ -60,8 +60,12 @@ SEVERE_IMBALANCE_PCT = 0.5
 
 
 def collapse_ws(x: Column) -> Column:
-    """Trim and collapse runs of whitespace to one space."""
-    return F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+", " ")
+    """Trim and collapse runs of whitespace to one space.
+
+    One regexp: after every run became a single space, only spaces can remain
+    at the ends, which ``trim`` removes.
+    """
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
 def normalize_label(x: Column, missing_label: str | None = None) -> Column:

@@ -36,4 +36,5 @@ def load_all() -> None:
         q_attr,
         q_score,
         q_model,
+        q_select,
     )
