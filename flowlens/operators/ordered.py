@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from flowlens.session import ensure_checkpoint_dir
 
 DEFAULT_BUCKETS = 64
+# Buckets grow with the largest group so that one bucket holds about this many distinct values.
+TARGET_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 16_384
 
 
 def _fixed(df: DataFrame) -> DataFrame:
@@ -37,9 +40,11 @@ def value_buckets(vc: DataFrame, group_cols: list[str], value_col: str, buckets:
     Buckets are contiguous, ordered value ranges of roughly equal numbers of
     distinct values.
     """
+    largest = vc.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0  # one scalar
+    buckets = int(min(MAX_BUCKETS, max(buckets, -(-largest // TARGET_PER_BUCKET))))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = _fixed(
-        vc.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col), probs, 10000).alias("_bounds"))
+        vc.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col), probs, max(10000, 20 * buckets)).alias("_bounds"))
     )
     v = F.col(value_col)
     return vc.join(bounds, group_cols, "left").withColumn(
@@ -134,7 +139,7 @@ def ordered_prefix(
     return out.drop("_b", *[f"_off_{s}" for s in sum_cols])
 
 
-def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, prefix_chars: int = 3) -> DataFrame:
+def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, prefix_chars: int = 4) -> DataFrame:
     """0-based rank ``_rank`` of each row within its group in ``hash_col`` (hex md5) order.
 
     The hash is uniform, so its leading hex digits are an exact range bucket:

@@ -37,4 +37,5 @@ def load_all() -> None:
         q_score,
         q_model,
         q_select,
+        q_io,
     )
