@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import scratch_dir
+
 REPLACEMENT_CHAR = "�"
 CORRUPT = "_corrupt_record"
 
@@ -76,7 +78,12 @@ def _read_text_table(spark: SparkSession, path: str, encoding: str) -> tuple[Dat
         .schema(schema)
         .csv(path)
     )
-    return df, names
+    # Parse once into a written staging table: the later passes (encoding check, type
+    # inference, width count) read columns from it instead of re-parsing text, and
+    # Spark allows queries on the corrupt-record column only over parsed results.
+    staged = scratch_dir(spark, "csv-stage")
+    df.write.mode("overwrite").parquet(staged)
+    return spark.read.parquet(staged), names
 
 
 def _typed(df: DataFrame, names: list[str], label_col: str) -> DataFrame:
