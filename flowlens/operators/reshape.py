@@ -31,3 +31,12 @@ def to_json_record(df: DataFrame, cols: list[str], name: str = "json") -> DataFr
 
 def from_json_record(df: DataFrame, schema: str, col: str = "json") -> DataFrame:
     return df.select(F.from_json(c(col), schema).alias("r")).select("r.*")
+
+
+def report_lines(df: DataFrame, section: str, order_col: str, fmt: str, cols: list[str]) -> DataFrame:
+    """Plain-text report rows ``(section, ord, line)`` from a result table (the numbers, not the prose)."""
+    return df.select(
+        F.lit(section).alias("section"),
+        F.col(order_col).cast("bigint").alias("ord"),
+        F.format_string(fmt, *[c(n) for n in cols]).alias("line"),
+    )

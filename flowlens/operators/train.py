@@ -203,3 +203,59 @@ def random_search(
     secs = time.perf_counter() - t0
     best = int(max(range(len(model.avgMetrics)), key=lambda i: model.avgMetrics[i]))
     return combos[best], float(model.avgMetrics[best]), secs
+
+
+# Poisson(1) cumulative probabilities for k = 0..5 (bootstrap multiplicity of a row).
+_POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+
+
+def poisson_weight(row_key: Column, tree: int, seed: int = SEED) -> Column:
+    """Deterministic bootstrap multiplicity of a row in tree ``tree`` (Poisson(1) by inverse CDF)."""
+    u = (F.abs(F.xxhash64(row_key, F.lit(tree), F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
+    w = F.lit(5.0)
+    for k in range(len(_POISSON1_CDF) - 1, -1, -1):
+        w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(float(k))).otherwise(w)
+    return w
+
+
+def rf_oob(
+    train: DataFrame,
+    features: list[str],
+    params: dict,
+    n_trees: int,
+    label_col: str = "label_idx",
+    weight_col: str | None = "weight",
+    key_col: str = "row_key",
+) -> tuple[DataFrame, list]:
+    """Bagged forest with out-of-bag accuracy (Spark ML has no OOB score).
+
+    Each tree is a one-tree forest (``bootstrap=False``, random feature subsets per
+    node) fitted on rows weighted by a hashed Poisson(1) multiplicity times the
+    class weight.  A row votes only through trees where its multiplicity is 0.
+    Returns a one-row frame (oob_accuracy, oob_rows) and the fitted trees.
+    """
+    x = assembler(features).transform(train)
+    models = []
+    for t in range(n_trees):
+        w = poisson_weight(F.col(key_col), t)
+        if weight_col:
+            w = w * F.col(weight_col)
+        data = x.withColumn("_bw", w).filter(F.col("_bw") > 0)
+        est = rf_estimator(dict(params, n_estimators=1), label_col, None).setBootstrap(False).setWeightCol("_bw").setSeed(SEED + t)
+        models.append(est.fit(data))
+    votes = x
+    for t, m in enumerate(models):
+        out = m.setProbabilityCol(f"_p{t}").setRawPredictionCol(f"_r{t}").setPredictionCol(f"_y{t}").transform(votes)
+        votes = out.withColumn(f"_p{t}", F.when(poisson_weight(F.col(key_col), t) == 0, vector_to_array(F.col(f"_p{t}")))).drop(f"_r{t}", f"_y{t}")
+    k = models[0].numClasses
+    zero = F.array_repeat(F.lit(0.0), k)
+    total = zero
+    for t in range(len(models)):
+        total = F.zip_with(total, F.coalesce(F.col(f"_p{t}"), zero), lambda a, b: a + b)
+    voted = votes.withColumn("_sum", total).filter(F.aggregate("_sum", F.lit(0.0), lambda a, b: a + b) > 0)
+    pred = F.array_position(F.col("_sum"), F.array_max("_sum")) - 1
+    summary = voted.agg(
+        (F.count_if(pred == F.col(label_col)) / F.count(F.lit(1))).alias("oob_accuracy"),
+        F.count(F.lit(1)).cast("bigint").alias("oob_rows"),
+    )
+    return summary, models

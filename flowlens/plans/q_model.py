@@ -187,3 +187,45 @@ def q_score_batch_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = f.model.transform(x).withColumn("_p", proba(x))
     scored = scored.withColumn("pred_idx", argmax_index(F.col("_p"))).withColumn("confidence", F.bround(F.array_max("_p"), SC.CONFIDENCE_DIGITS))
     return SC.join_label_map(scored, classes(spark, sf_dir)).select("row", "prediction", "confidence")
+
+
+@register("rf_oob")
+def q_rf_oob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-bag accuracy of a hashed-Poisson bagged forest on the train split."""
+    from flowlens.functions.exprs import row_hash
+
+    train = weighted_train(spark, sf_dir)
+    train = train.withColumn("row_key", row_hash(train, ["label"] + CLEAN_FEATURES))
+    summary, _ = T.rf_oob(train, CLEAN_FEATURES, RF_PARAMS, n_trees=8)
+    return summary
+
+
+@register("sink_attributions")
+def q_sink_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions and base values written as Parquet and read back (row counts per class)."""
+    from flowlens.session import scratch_dir
+
+    path = scratch_dir(spark, "attributions")
+    X.shap_values(explained_rows(spark, sf_dir), CLEAN_FEATURES, forest_trees(spark, sf_dir)).write.mode("overwrite").partitionBy("class_idx").parquet(f"{path}/phi")
+    X.base_values(spark, forest_trees(spark, sf_dir)).write.mode("overwrite").parquet(f"{path}/base")
+    phi = spark.read.parquet(f"{path}/phi")
+    return phi.groupBy("class_idx").agg(F.count(F.lit(1)).cast("bigint").alias("rows")).join(spark.read.parquet(f"{path}/base"), "class_idx")
+
+
+@register("sink_artifacts")
+def q_sink_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label map, class weights and the fitted model written with Spark's writers, read back."""
+    from pyspark.ml import PipelineModel
+
+    from flowlens.session import scratch_dir
+
+    path = scratch_dir(spark, "artifacts")
+    cls = classes(spark, sf_dir)
+    train = split_rows(spark, sf_dir, "train")
+    cls.write.mode("overwrite").parquet(f"{path}/label_mapping")
+    P.class_weights(train).write.mode("overwrite").parquet(f"{path}/class_weights")
+    fitted(spark, sf_dir, "rf").model.write().overwrite().save(f"{path}/model")
+    reloaded = PipelineModel.load(f"{path}/model")
+    n_stages = len(reloaded.stages)
+    m = spark.read.parquet(f"{path}/label_mapping").withColumnRenamed("idx", "label_idx")
+    return m.join(spark.read.parquet(f"{path}/class_weights"), "label_idx").withColumn("model_stages", F.lit(n_stages))

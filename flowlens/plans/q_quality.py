@@ -245,3 +245,17 @@ def q_eda_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("agg_basic_metrics")
 def q_basic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.basic_metrics(flows_in(spark, sf_dir))
+
+
+@register(
+    "report_lines",
+    _AUDIT_SQL.replace(
+        "SELECT CAST(step_order AS BIGINT) AS step_order, step, CAST(value AS BIGINT) AS value FROM (",
+        "SELECT 'cleaning' AS section, CAST(step_order AS BIGINT) AS ord, printf('%s: %d', step, CAST(value AS BIGINT)) AS line FROM (",
+    ),
+)
+def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.reshape import report_lines
+
+    audit = Q.clean_audit(flows_in(spark, sf_dir), LABEL, Q.RARE_CLASSES, FLOWS_CONSTANT)
+    return report_lines(audit, "cleaning", "step_order", "%s: %d", ["step", "value"])
