@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from flowlens.session import ensure_checkpoint_dir
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = 1
 # Buckets grow with the largest group so that one bucket holds about this many distinct values.
 TARGET_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
@@ -35,13 +35,16 @@ def _fixed(df: DataFrame) -> DataFrame:
 
 
 def value_buckets(vc: DataFrame, group_cols: list[str], value_col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add bucket id ``_b`` (0..buckets-1) to a table of distinct values per group.
+    """Add bucket id ``_b`` (0..B-1) to a table of distinct values per group.
 
     Buckets are contiguous, ordered value ranges of roughly equal numbers of
-    distinct values.
+    distinct values.  B is at least ``buckets`` and grows with the largest group
+    (about ``TARGET_PER_BUCKET`` distinct values per bucket).
     """
     largest = vc.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0  # one scalar
     buckets = int(min(MAX_BUCKETS, max(buckets, -(-largest // TARGET_PER_BUCKET))))
+    if buckets == 1:  # every group fits one bucket: no sketch, no boundary table
+        return vc.withColumn("_b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = _fixed(
         vc.groupBy(*group_cols).agg(F.percentile_approx(F.col(value_col), probs, max(10000, 20 * buckets)).alias("_bounds"))
