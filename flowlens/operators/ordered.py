@@ -142,13 +142,29 @@ def ordered_prefix(
     return out.drop("_b", *[f"_off_{s}" for s in sum_cols])
 
 
-def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, prefix_chars: int = 4) -> DataFrame:
+# hash_rank targets about this many bytes of input per (group, bucket) window.
+BYTES_PER_HASH_BUCKET = 32 << 20
+
+
+def hash_prefix_chars(df: DataFrame) -> int:
+    """Hex digits of the hash used as bucket: 16^d buckets with ~32 MB of input each (1 <= d <= 6)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    d = 1
+    while d < 6 and size / (16**d) > BYTES_PER_HASH_BUCKET:
+        d += 1
+    return d
+
+
+def hash_rank(df: DataFrame, group_cols: list[str], hash_col: str, prefix_chars: int | None = None) -> DataFrame:
     """0-based rank ``_rank`` of each row within its group in ``hash_col`` (hex md5) order.
 
     The hash is uniform, so its leading hex digits are an exact range bucket:
-    no sketch needed.  Rows are shuffled by (group, bucket), never by group alone.
+    no sketch needed.  Rows are shuffled by (group, bucket), never by group alone;
+    the number of digits follows the plan's size estimate (an upper bound, so a
+    hot group still gets small buckets).
     Also adds ``_n`` (group size).
     """
+    prefix_chars = prefix_chars or hash_prefix_chars(df)
     b = F.conv(F.substring(F.col(hash_col), 1, prefix_chars), 16, 10).cast("int")
     data = df.withColumn("_hb", b)
     bt = data.groupBy(*group_cols, "_hb").agg(F.count(F.lit(1)).alias("_bc"))

@@ -175,7 +175,12 @@ def clean(
     rare: list[str] = RARE_CLASSES,
     constant: list[str] = CONSTANT_FEATURES,
 ) -> DataFrame:
-    """The cleaning chain in the reference order: rare -> inf -> dedup -> missing -> columns."""
+    """The cleaning chain in the reference order: rare -> inf -> dedup -> missing -> columns.
+
+    Feed it a written ingest table (see ``plans.q_quality.flows_in``): over a raw
+    projection, filter pushdown would re-evaluate the label and NaN/Inf
+    expressions inside the pushed filters.
+    """
     df, _ = drop_rare_classes(df, rare, label_col)
     df, _ = replace_inf(df)
     df = df.dropDuplicates()

@@ -15,8 +15,13 @@ ALL = [LABEL] + FEATURES
 
 
 def flows_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingested flows: labels normalised, NaN as NULL (rule S1)."""
-    return Q.nan_to_null(Q.std_labels(flows(spark, sf_dir), LABEL))
+    """Ingested (merged) flows: labels normalised, NaN as NULL (rule S1), a written stage.
+
+    Writing the merged table before cleaning is the reference's own hand-off; it
+    also keeps Catalyst from pushing the cleaning filters below the label and
+    NaN/Inf projections, which would repeat those expressions per row.
+    """
+    return stage(spark, "flows_in", sf_dir, lambda: Q.nan_to_null(Q.std_labels(flows(spark, sf_dir), LABEL)))
 
 
 def flows_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
