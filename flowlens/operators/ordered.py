@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import ensure_checkpoint_dir
+from flowlens.session import ensure_checkpoint_dir, scratch_dir
 
 DEFAULT_BUCKETS = 1
 # Buckets grow with the largest group so that one bucket holds about this many distinct values.
@@ -34,6 +34,13 @@ def _fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several branches reuse, read it back (lineage cut, columnar)."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def value_buckets(vc: DataFrame, group_cols: list[str], value_col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add bucket id ``_b`` (0..B-1) to a table of distinct values per group.
 
@@ -76,7 +83,7 @@ def exact_quantiles(
         out = data.groupBy(*group_cols).agg(arr.alias("_q"))
         return out.select(*group_cols, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    vc = data.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    vc = _written(data.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c")), "distinct-values")
     vcb = value_buckets(vc, group_cols, value_col, buckets)
     bt = vcb.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,6 +135,7 @@ def ordered_prefix(
     ``df`` must have one row per (group, order value) (aggregate first).  Adds
     ``{s}_before`` (sum over strictly smaller order values) and ``{s}_upto``.
     """
+    df = _written(df, "ordered-points")
     vcb = value_buckets(df, group_cols, order_col, buckets)
     bt = vcb.groupBy(*group_cols, "_b").agg(*[F.sum(s).alias(f"_bt_{s}") for s in sum_cols])
     wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import as_missing, c, numeric_columns, pct_guard
-from flowlens.operators.ordered import exact_quantiles
+from flowlens.operators.ordered import _written, exact_quantiles
 
 # Fixed values that must equal the reference.
 CORR_THRESHOLD = 0.90
@@ -103,10 +103,11 @@ def outliers_iqr(df: DataFrame, features: list[str], factor: float = IQR_FACTOR)
     feats = [f for f in features if f in numeric]
     lf = long_form(df, feats)
     qs = exact_quantiles(lf, ["feature_name"], "value", [0.25, 0.75], ["q1", "q3"])
-    fences = (
+    fences = _written(  # P rows, used by both the count pass and the output
         qs.withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower_bound", F.col("q1") - F.lit(factor) * F.col("iqr"))
-        .withColumn("upper_bound", F.col("q3") + F.lit(factor) * F.col("iqr"))
+        .withColumn("upper_bound", F.col("q3") + F.lit(factor) * F.col("iqr")),
+        "fences",
     )
     v = F.col("value")
     counts = lf.join(fences.select("feature_name", "lower_bound", "upper_bound"), "feature_name").groupBy("feature_name").agg(
@@ -209,7 +210,7 @@ def boxplot_stats(df: DataFrame, features: list[str], factor: float = IQR_FACTOR
     lf = long_form(df, features).filter(F.col("value").isNotNull())
     qs = exact_quantiles(lf, ["feature_name"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
-    qs = qs.withColumn("lo_fence", F.col("q1") - F.lit(factor) * iqr).withColumn("hi_fence", F.col("q3") + F.lit(factor) * iqr)
+    qs = _written(qs.withColumn("lo_fence", F.col("q1") - F.lit(factor) * iqr).withColumn("hi_fence", F.col("q3") + F.lit(factor) * iqr), "box-fences")
     v = F.col("value")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     agg = lf.join(qs.select("feature_name", "lo_fence", "hi_fence"), "feature_name").groupBy("feature_name").agg(
