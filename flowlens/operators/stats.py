@@ -57,25 +57,63 @@ def _pair_corr(x: str, y: str):
     return F.when(den != 0, F.covar_samp(c(x), c(y)) / den)
 
 
+# Pairs per aggregate on the pairwise-complete path (keeps each plan small).
+CORR_PAIRS_PER_PASS = 150
+
+
 def corr_matrix(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None) -> DataFrame:
-    """Pearson matrix, pairwise complete, as long rows ``(feature_1, feature_2, correlation)``.
+    """Pearson matrix as long rows ``(feature_1, feature_2, correlation)``; NULL where a variance is 0.
 
-    One pass: every pair is three mergeable aggregates.  Constant columns give
-    NULL (guarded division) instead of an ANSI divide-by-zero error.
+    Without missing values (the cleaned table) the matrix comes from one pass of
+    Spark ML's Gramian-based ``Correlation`` (tree aggregation on the executors;
+    the P x P result is bounded by the feature count).  With missing values it is
+    pairwise complete: per pair ``covar_samp / (stddev * stddev)`` over rows where
+    both are present, in chunks of pairs so each aggregate stays small.
     """
     feats = _features(df, target_col, cols)
     wide = df.select(*[as_missing(c(n).cast("double")).alias(n) for n in feats])
-    pairs = [(a, b) for a, b in combinations(feats, 2)]
-    aggs = [_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    diag = [F.when(F.stddev_samp(c(n)) != 0, F.lit(1.0)).alias(f"d{i}") for i, n in enumerate(feats)]
-    one = wide.agg(*aggs, *diag)
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
-        entries.append(F.struct(F.lit(b).alias("feature_1"), F.lit(a).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
-    for i, n in enumerate(feats):
-        entries.append(F.struct(F.lit(n).alias("feature_1"), F.lit(n).alias("feature_2"), F.col(f"d{i}").alias("correlation")))
-    return one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    pre = wide.agg(
+        *[F.count_if(c(n).isNull()).alias(f"n{i}") for i, n in enumerate(feats)],
+        *[F.stddev_samp(c(n)).alias(f"s{i}") for i, n in enumerate(feats)],
+    ).first()
+    nulls = [pre[f"n{i}"] for i in range(len(feats))]
+    flat = [not pre[f"s{i}"] for i in range(len(feats))]  # zero (or undefined) variance
+    spark = df.sparkSession
+    if sum(nulls) == 0:
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+
+        vec = VectorAssembler(inputCols=feats, outputCol="_v").transform(wide).select("_v")
+        mat = Correlation.corr(vec, "_v").first()[0].toArray()
+        rows = [
+            (a, b, None if (flat[i] or flat[j] or mat[i, j] != mat[i, j]) else float(mat[i, j]))
+            for i, a in enumerate(feats)
+            for j, b in enumerate(feats)
+        ]
+        return spark.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    pairs = list(combinations(feats, 2))
+    parts = []
+    for start in range(0, max(len(pairs), 1), CORR_PAIRS_PER_PASS):
+        chunk = pairs[start : start + CORR_PAIRS_PER_PASS]
+        one = wide.agg(*[_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        entries = []
+        for i, (a, b) in enumerate(chunk):
+            entries.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
+            entries.append(F.struct(F.lit(b).alias("feature_1"), F.lit(a).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
+        if entries:
+            parts.append(one.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    diag = wide.agg(*[F.when(F.stddev_samp(c(n)) != 0, F.lit(1.0)).alias(f"d{i}") for i, n in enumerate(feats)])
+    parts.append(
+        diag.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(n).alias("feature_1"), F.lit(n).alias("feature_2"), F.col(f"d{i}").alias("correlation")) for i, n in enumerate(feats)])
+            ).alias("e")
+        ).select("e.*")
+    )
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def corr_pairs(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None, threshold: float = CORR_THRESHOLD) -> DataFrame:

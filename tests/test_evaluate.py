@@ -49,3 +49,23 @@ def test_exact_quantiles_match_numpy(spark):
     for p, name in ((0.25, "a"), (0.5, "b"), (0.95, "c")):
         assert abs(q["g"][name] - float(np.percentile(vals, p * 100))) < 1e-9
     assert q["h"]["b"] == 1.0
+
+
+def test_corr_pairwise_complete_with_nulls_and_constant(spark):
+    import pandas as pd
+
+    from flowlens.operators.stats import corr_matrix
+
+    rng = np.random.default_rng(11)
+    a = rng.random(60)
+    b = a * 2 + rng.random(60) * 0.1
+    b[[3, 7, 9]] = np.nan
+    c = np.ones(60)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    df = spark.createDataFrame([(float(x), None if np.isnan(y) else float(y), float(z)) for x, y, z in zip(a, b, c)], "a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in corr_matrix(df, None).collect()}
+    assert abs(got[("a", "b")] - pdf["a"].corr(pdf["b"])) < 1e-12
+    assert got[("a", "c")] is None and got[("c", "c")] is None and got[("a", "a")] == 1.0
+    clean = spark.createDataFrame([(float(x), float(x) * 3 + 1, 2.0) for x in a], "a double, b double, c double")
+    got2 = {(r[0], r[1]): r[2] for r in corr_matrix(clean, None).collect()}
+    assert abs(got2[("a", "b")] - 1.0) < 1e-12 and got2[("b", "c")] is None
