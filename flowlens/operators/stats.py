@@ -7,8 +7,6 @@ shuffle keyed by feature serves every column; all aggregates are partial
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,26 +47,13 @@ def describe_numeric(df: DataFrame, target_col: str | None = "Label", cols: list
     return moments.join(qs, "feature_name", "left").select("feature_name", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
-def _pair_corr(x: str, y: str):
-    both = c(x).isNotNull() & c(y).isNotNull()
-    sx = F.stddev_samp(F.when(both, c(x)))
-    sy = F.stddev_samp(F.when(both, c(y)))
-    den = sx * sy
-    return F.when(den != 0, F.covar_samp(c(x), c(y)) / den)
-
-
-# Pairs per aggregate on the pairwise-complete path (keeps each plan small).
-CORR_PAIRS_PER_PASS = 150
-
-
 def corr_matrix(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None) -> DataFrame:
     """Pearson matrix as long rows ``(feature_1, feature_2, correlation)``; NULL where a variance is 0.
 
     Without missing values (the cleaned table) the matrix comes from one pass of
     Spark ML's Gramian-based ``Correlation`` (tree aggregation on the executors;
     the P x P result is bounded by the feature count).  With missing values it is
-    pairwise complete: per pair ``covar_samp / (stddev * stddev)`` over rows where
-    both are present, in chunks of pairs so each aggregate stays small.
+    pairwise complete, from one Gramian of values, squares and presence masks.
     """
     feats = _features(df, target_col, cols)
     wide = df.select(*[as_missing(c(n).cast("double")).alias(n) for n in feats])
@@ -91,29 +76,59 @@ def corr_matrix(df: DataFrame, target_col: str | None = "Label", cols: list[str]
             for j, b in enumerate(feats)
         ]
         return spark.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
-    pairs = list(combinations(feats, 2))
-    parts = []
-    for start in range(0, max(len(pairs), 1), CORR_PAIRS_PER_PASS):
-        chunk = pairs[start : start + CORR_PAIRS_PER_PASS]
-        one = wide.agg(*[_pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        entries = []
-        for i, (a, b) in enumerate(chunk):
-            entries.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
-            entries.append(F.struct(F.lit(b).alias("feature_1"), F.lit(a).alias("feature_2"), F.col(f"r{i}").alias("correlation")))
-        if entries:
-            parts.append(one.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    diag = wide.agg(*[F.when(F.stddev_samp(c(n)) != 0, F.lit(1.0)).alias(f"d{i}") for i, n in enumerate(feats)])
-    parts.append(
-        diag.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(n).alias("feature_1"), F.lit(n).alias("feature_2"), F.col(f"d{i}").alias("correlation")) for i, n in enumerate(feats)])
-            ).alias("e")
-        ).select("e.*")
+    return _pairwise_complete(wide, feats)
+
+
+def _pairwise_complete(wide: DataFrame, feats: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson from one Gramian of Z = [x (0 if missing), x^2, present mask].
+
+    Every per-pair sum over rows where both values are present is an entry of
+    Z^T Z (e.g. sum x_i over rows with x_j present = G[x_i, m_j]).  The Gramian
+    is rebuilt from Spark ML's one-pass correlation, means and variances of Z, so
+    the data pass stays on the executors; the 3P x 3P result is bounded.
+    """
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    p = len(feats)
+    z = wide.select(
+        *[F.coalesce(c(n), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(feats)],
+        *[F.coalesce(c(n) * c(n), F.lit(0.0)).alias(f"q{i}") for i, n in enumerate(feats)],
+        *[c(n).isNotNull().cast("double").alias(f"m{i}") for i, n in enumerate(feats)],
     )
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    cols = [f"{k}{i}" for k in ("x", "q", "m") for i in range(p)]
+    vec = VectorAssembler(inputCols=cols, outputCol="_z").transform(z).select("_z").cache()
+    try:
+        corr = Correlation.corr(vec, "_z").first()[0].toArray()
+        st = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_z")).alias("s")).first()["s"]
+    finally:
+        vec.unpersist()
+    n = float(st["count"])
+    mean = st["mean"].toArray()
+    var = st["variance"].toArray()
+    sd = np.sqrt(np.maximum(var, 0.0))
+    cov = np.nan_to_num(corr) * np.outer(sd, sd)
+    gram = (n - 1.0) * cov + n * np.outer(mean, mean)  # sum over rows of z_a * z_b
+    X, Q, M = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
+    nn = gram[M, M]
+    sx = gram[X, M]  # [i, j]: sum x_i over rows where j is present (and i, since x is 0 when missing)
+    sxx = gram[Q, M]
+    sxy = gram[X, X]
+    rows = []
+    for i, a in enumerate(feats):
+        for j, b in enumerate(feats):
+            k = nn[i, j]
+            r = None
+            if k >= 2:
+                vx = sxx[i, j] - sx[i, j] ** 2 / k
+                vy = sxx[j, i] - sx[j, i] ** 2 / k
+                cxy = sxy[i, j] - sx[i, j] * sx[j, i] / k
+                scale_x, scale_y = max(abs(sxx[i, j]), 1.0), max(abs(sxx[j, i]), 1.0)
+                if vx > 1e-12 * scale_x and vy > 1e-12 * scale_y:
+                    r = 1.0 if i == j else float(max(-1.0, min(1.0, cxy / np.sqrt(vx * vy))))
+            rows.append((a, b, r))
+    return wide.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
 
 
 def corr_pairs(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None, threshold: float = CORR_THRESHOLD) -> DataFrame:
