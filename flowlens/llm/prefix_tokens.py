@@ -76,6 +76,7 @@ class PrefixCounter:
         self.blank_runs = regex.compile(r"\p{White_Space}{2,}")
         self.fits: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
         self._last: tuple[bytes, list[int], list[int]] = (b"", [], [])
 
     def _merge(self, word: bytes) -> list[bytes]:
@@ -145,10 +146,24 @@ class PrefixCounter:
 
     def word_counts(self, word: str) -> list[int]:
         """The same by characters."""
+        known = self.short.get(word)
+        if known is not None:
+            return known[:]
         raw = word.encode()
-        counts = self.byte_counts(raw)
-        if len(raw) == len(word):
-            return counts[:]
+        if len(word) <= 3:
+            kept, self._last = self._last, (b"", [], [])
+            counts = self.byte_counts(raw)[:]
+            self._last = kept
+        else:
+            counts = self.byte_counts(raw)
+        if len(raw) != len(word):
+            counts = self._by_character(raw, counts)
+        if len(word) <= 3 and len(self.short) < 100_000:
+            self.short[word] = counts
+        return counts[:]
+
+    @staticmethod
+    def _by_character(raw: bytes, counts: list[int]) -> list[int]:
         ends = [i for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
         return [counts[i - 1] for i in ends]
 
