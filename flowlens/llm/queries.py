@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import packing, prefix_tokens, simhash, substring
+from flowlens.llm import mixing, packing, prefix_tokens, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
+@query("op6_low_discrepancy_mix")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, takes = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    taken = takes.groupBy(F.col("row").alias("take_row")).agg(F.sum("words").alias("taken"))
+    return documents.join(taken, F.col("row") == F.col("take_row"), "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+    )
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
