@@ -6,6 +6,8 @@ import io
 import os
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,9 +87,7 @@ def running_total(
     local = rows.withColumn("_before", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     right = offsets.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by_bucket)], "_offset")
     match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by_bucket)]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
+    cond = reduce(and_, match)
     return (
         local.join(right, cond, "inner")
         .withColumn(out, F.col("_offset") + F.col("_before"))
