@@ -70,29 +70,39 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str
-) -> DataFrame:
-    """Exclusive running total of ``value`` within ``keys``, ordered by ``bucket`` first and ``order`` inside it.
+def running_totals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Exclusive running totals within ``keys``, ordered by ``bucket`` first and ``order`` inside it.
 
-    Two levels: one partial aggregate per (keys, bucket) gives the buckets' offsets, and rows are only sorted
-    inside their own bucket, so a key with a third of all rows is spread over its buckets.
+    ``values``: new column -> (value, "sum" or "bit_xor").  Two levels: one partial aggregate per (keys, bucket) gives
+    the buckets' offsets, and rows are only sorted inside their own bucket, so a key with a third of all rows is spread
+    over its buckets.
     """
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    kinds = {"sum": (F.sum, lambda a, b: a + b), "bit_xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b))}
+    rows = df.withColumn("_bucket", bucket)
+    for i, (value, _) in enumerate(values.values()):
+        rows = rows.withColumn(f"_v{i}", value)
     by_bucket = [*keys, "_bucket"]
-    totals = rows.groupBy(*by_bucket).agg(F.sum("_value").alias("_total"))
+    how = [kinds[kind] for _, kind in values.values()]
+    totals = rows.groupBy(*by_bucket).agg(*[agg(f"_v{i}").alias(f"_t{i}") for i, (agg, _) in enumerate(how)])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by_bucket, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by_bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_before", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    right = offsets.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by_bucket)], "_offset")
-    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by_bucket)]
-    cond = reduce(and_, match)
-    return (
-        local.join(right, cond, "inner")
-        .withColumn(out, F.col("_offset") + F.col("_before"))
-        .drop("_bucket", "_value", "_before", "_offset", *[f"_k{i}" for i in range(len(by_bucket))])
+    offsets = totals.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by_bucket)],
+        *[F.coalesce(agg(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}") for i, (agg, _) in enumerate(how)],
     )
+    inside = Window.partitionBy(*by_bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for i, (agg, _) in enumerate(how):
+        rows = rows.withColumn(f"_b{i}", F.coalesce(agg(f"_v{i}").over(inside), F.lit(0)))
+    match = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by_bucket)))
+    out = rows.join(offsets, match)
+    for i, (name, (_, plus)) in enumerate(zip(values, how)):
+        out = out.withColumn(name, plus(F.col(f"_o{i}"), F.col(f"_b{i}")))
+    helpers = [f"_{x}{i}" for i in range(len(how)) for x in "vob"]
+    return out.drop("_bucket", *helpers, *[f"_k{i}" for i in range(len(by_bucket))])
+
+
+def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
+    """:func:`running_totals` for one sum."""
+    return running_totals(df, keys, bucket, order, {out: (value, "sum")})
 
 
 def text_slices(batches: Iterable, limit: int = SLICE_BYTES) -> Iterator:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, packing, prefix_tokens, sharding, simhash, substring, topk, vptree
+from flowlens.llm import chat, mixing, packing, prefix_tokens, sharding, simhash, substring, topk, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +41,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
+@query(
+    "op3_chat_snapshot_collapse",
+    """
+    WITH turns AS (
+      SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+      FROM conversations
+    ),
+    logged AS (
+      SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY turn, role, text) AS said FROM turns GROUP BY conv_id
+    ),
+    starts AS (SELECT DISTINCT k, said[1:k] AS said FROM (SELECT said, unnest(range(1, n)) AS k FROM logged)),
+    longest AS (
+      SELECT min(conv_id) AS conv_id, n, count(*) AS copies, said FROM logged l
+      WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.k = l.n AND s.said = l.said) GROUP BY n, said
+    )
+    SELECT conv_id, CAST(p AS INTEGER) AS part, n AS n_turns, copies,
+      list_aggregate(list_transform(said[256 * p + 1:256 * p + 256],
+        lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), 'string_agg', '') AS text
+    FROM (SELECT *, unnest(range(0, (n + 255) // 256)) AS p FROM longest)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query(
     "op4_columnar_branch_and_bound",
     """
