@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, mixing, packing, prefix_tokens, sharding, simhash, substring, topk, vptree
+from flowlens.llm import chat, mixing, packing, prefix_tokens, quality, sharding, simhash, substring, topk, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,6 +87,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op5_weak_label_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "reject_score", (~F.col("rejected")).alias("keep"))
+
+
 @query("op6_low_discrepancy_mix")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, takes = mixing.mix_sources(table(spark, sf_dir, "documents"))

@@ -1,0 +1,47 @@
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from flowlens.llm import quality
+
+D = "/root/testdata/sf0.1"
+
+
+def test_estimates_accuracies_without_labels():
+    rng = np.random.default_rng(3)
+    bad = rng.random(20_000) < 0.2
+    finds, slips = np.array([0.9, 0.7, 0.8, 0.6]), np.array([0.005, 0.02, 0.01, 0.03])
+    rejects = rng.random((20_000, 4)) < np.where(bad[:, None], finds, slips)
+    votes = np.where(rng.random((20_000, 4)) < [0.9, 0.8, 0.5, 0.9], rejects + 1, quality.ABSTAIN)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    tables, posterior = quality.estimate_labellers(patterns, counts.astype(float))
+    for j in range(4):
+        assert abs(tables[j][1][1] - finds[j]) < 0.08 and abs(tables[j][0][1] - slips[j]) < 0.02
+    truth = np.array([bad[(votes == p).all(axis=1)].mean() for p in patterns])
+    assert np.average(np.abs(truth - posterior), weights=counts) < 0.03
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    model = quality.fit(docs, labels.filter("doc_id % 2 = 0"))
+    held = labels.filter("doc_id % 2 = 1").withColumn("bad", (F.col("quality") == 0) | (F.col("toxic") == 1))
+    rows = quality.score(docs, model).join(held, "doc_id").groupBy("bad", "rejected").count().collect()
+    n = {(r["bad"], r["rejected"]): r["count"] for r in rows}
+    assert n[(True, True)] / (n[(True, True)] + n.get((True, False), 0)) > 0.97
+    assert n.get((False, True), 0) / n[(False, False)] < 0.01
+
+
+def test_edge_rows(spark):
+    schema = "doc_id long, text string, rejected string, reject_score string, x int"
+    rows = [(1, None), (2, ""), (None, "the cat and the dog"), (3, "the cat is on a mat"), (3, "the cat is on a mat"), (4, " \n\t "), (5, "word " * 50_000), (6, "X!! " * 90)]
+    df = spark.createDataFrame([(i, t, "r", "s", 7) for i, t in rows], schema).repartition(2)
+    out = quality.classify(df, None)
+    assert out.columns == ["doc_id", "text", "x", "reject_score", "rejected"] and out.count() == len(rows)
+    got = {r["doc_id"]: r["rejected"] for r in out.collect()}
+    assert not got[1] and not got[2] and not got[3] and got[5] and got[6]
+    empty = df.limit(0)
+    assert quality.classify(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_votes_of_empty_batch():
+    assert quality._Documents(pa.array([None, ""], pa.string())).votes().tolist() == [[0] * 9] * 2
