@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_documents: int = FIT_DOCU
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds (reject_score, rejected) to ``docs``, one row per input row; input columns of these names are replaced.
 
-    Null and empty texts have no words: every labeller abstains, and the scorer keeps them unless it learned otherwise.
+    Null, empty and blank texts have no words for a labeller to judge: score 0, kept.
     """
     ship_package(docs.sparkSession)
     docs = docs.drop("reject_score", "rejected").withColumn("text", F.col("text").cast("string"))
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part in text_slices(batches):
             words = _Documents(part.column(part.schema.get_field_index("text")), m.lexicon)
             z = np.array([float(m.weights[at] @ x) + m.bias for at, x in words.features(words.votes())])
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            p = np.where(words.words == 0, 0.0, 1 / (1 + np.exp(-np.clip(z, -50, 50))))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(p >= THRESHOLD)], names=[*part.schema.names, "reject_score", "rejected"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
