@@ -106,10 +106,12 @@ def slot_schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, block: int = BLOCK_WORDS):
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, block: int = BLOCK_WORDS,
+                carry: tuple[str, ...] = ()):
     """Mix ``documents(doc_id, source, text)``: returns ``(documents, takes)``.
 
-    ``documents``: (row, doc_id, size, source_size, target), one row per input row, ``row`` numbering them.
+    ``documents``: (row, doc_id, size, source_size, target, and the columns named in ``carry``), one row per input row,
+    ``row`` numbering them.
     ``takes``: (row, epoch, words, first_slot), the words that each pass over the source's stream takes from the row's
     beginning; a row that nothing is taken from has none.  Null and blank texts have size 0 and are never taken; null
     sources form a source of their own, behind the others; rows that repeat are separate rows of equal place; an empty
@@ -117,9 +119,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
     """
     sized = written(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *carry
         ).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "source",
+            *carry, F.monotonically_increasing_id().alias("row"), "doc_id", "source",
             F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
             word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(6), "doc_id", "text").alias("place"),
         ),
@@ -144,17 +146,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
         .groupBy("row", "epoch").agg(F.sum("got").alias("words"), F.min("slot").alias("first_slot"))
     )
     by_key = targets.withColumnRenamed("key", "target_key")
-    documents = sized.join(by_key, F.col("key") == F.col("target_key")).select("row", "doc_id", "size", "source_size", "target")
+    documents = sized.join(by_key, F.col("key") == F.col("target_key")).select("row", "doc_id", "size", "source_size", "target", *carry)
     return documents, takes
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document once per pass that takes of it, text cut to the words taken, columns as given."""
     named = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
-    keyed = named.select(F.col("_mix_row").alias("doc_id"), "source", "text")
-    documents, takes = mix_sources(keyed, **options)
+    documents, takes = mix_sources(named, **options, carry=("_mix_row",))
     cut = takes.join(documents, "row").select(
-        F.col("doc_id").alias("_mix_take"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size"))
+        F.col("_mix_row").alias("_mix_take"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_mix_words") >= F.col("_mix_size"), F.col("text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("_mix_words").cast("int")), " "))

@@ -108,7 +108,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op8_substring_dedup")
+#: Twelve words behind the first one, as SQL; null where the document ends before.
+_NEXT_WORDS = " ".join(f"|| ' ' || lead(word, {k}) OVER d" for k in range(1, substring.WINDOW_WORDS))
+
+
+@query(
+    "op8_substring_dedup",
+    rf"""
+    WITH split AS (
+      SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+    ),
+    words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+    windows AS (
+      SELECT doc_id, i, word, word {_NEXT_WORDS} AS said FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    ),
+    starts AS (SELECT said, min(doc_id) AS first_id FROM windows WHERE said IS NOT NULL GROUP BY said),
+    judged AS (
+      SELECT w.doc_id, w.i, w.word, max(CASE WHEN s.first_id < w.doc_id THEN 1 ELSE 0 END)
+        OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN {substring.WINDOW_WORDS - 1} PRECEDING AND CURRENT ROW) AS gone
+      FROM windows w LEFT JOIN starts s ON w.said = s.said
+    ),
+    kept AS (
+      SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept
+      FROM judged GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents d LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,36 +1,13 @@
 import random
 
 import numpy as np
-import xxhash
+from tests_llm_brute import simhash_rows
 
 from flowlens.llm.simhash import simhash_components, trie_links
 
 SCHEMA = "doc_id long, text string, fp string, node long, extra string"
 
 
-def brute(rows):
-    fps = {}
-    for i, text in rows:
-        words = (text or "").encode().lower().split()
-        grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
-        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    root = {i: i for i in fps}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(fps)
-    for a in ids:
-        for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (f"{fps[i]:016x}", find(i)) for i in ids}
-
-
 def test_components_match_brute_force(spark):
     rnd = random.Random(3)
     vocab = [f"w{k}" for k in range(400)]
@@ -44,7 +21,7 @@ def test_components_match_brute_force(spark):
     rows += [(200, None), (201, ""), (202, " \t\n"), (203, "One"), (204, "one"), (205, "é ü Ab"), (206, rows[0][1])]
     df = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], SCHEMA).repartition(5)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_components(df).collect()}
-    assert got == brute(rows)
+    assert got == simhash_rows(rows)
 
 
 def test_empty_null_ids_and_repeats(spark):
