@@ -53,30 +53,40 @@ def argmax_index(arr: Column) -> Column:
     return (F.array_position(arr, F.array_max(arr)) - F.lit(1)).cast("bigint")
 
 
-def decimal_text(x: Column, scale: int = 6) -> Column:
-    """Engine-independent text of a number (doubles print differently across engines)."""
-    return x.try_cast(f"decimal(38,{scale})").cast("string")
+def exact_text(x: Column) -> Column:
+    """The exact value of a double as text, the same in any SQL engine: hexadecimal digits, one zero, NaN and infinities apart."""
+    v = F.when(x == 0.0, F.lit(0.0)).otherwise(x.cast("double"))
+    finite = F.replace(F.format_string("%a", v), F.lit(".0p"), F.lit("p"))
+    return F.when(F.isnan(v), F.lit("nan")).when(is_inf(v), F.when(v > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(finite)
 
 
-def row_hash(df: DataFrame, cols: list[str] | None = None, seed: int = 42, scale: int = 6) -> Column:
+def row_hash(df: DataFrame, cols: list[str] | None = None, seed: int = 42) -> Column:
     """Deterministic md5 of a row's content salted with ``seed``.
 
-    Numbers go through DECIMAL text so the hash is the same in any SQL engine;
-    identical rows hash identically and are interchangeable.  NULL prints as ``~``.
+    Floating-point values enter exactly (:func:`exact_text`), other values as text behind their length; NULL
+    prints as ``~``, which no value does.  Only identical rows hash alike, and those are interchangeable.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     parts = [F.lit(str(seed))]
     for name in cols or df.columns:
-        col = decimal_text(c(name), scale) if isinstance(types[name], NUMERIC_TYPES) else c(name).cast("string")
-        parts.append(F.coalesce(col, F.lit("~")))
+        if isinstance(types[name], FLOAT_TYPES):
+            text = F.when(c(name).isNotNull(), exact_text(c(name)))
+        else:
+            value = c(name).cast("string")
+            text = F.concat(F.length(value).cast("string"), F.lit(":"), value)
+        parts.append(F.coalesce(text, F.lit("~")))
     return F.md5(F.concat_ws("|", *parts))
 
 
-def row_hash_sql(cols_types: list[tuple[str, bool]], seed: int = 42, scale: int = 6) -> str:
-    """The same hash as ANSI SQL text (for the DuckDB oracle)."""
+def row_hash_sql(cols_types: list[tuple[str, bool]], seed: int = 42) -> str:
+    """The same hash as SQL text (for the DuckDB oracle); the flag says whether a column is floating-point."""
     parts = [f"'{seed}'"]
-    for name, numeric in cols_types:
+    for name, floating in cols_types:
         q = '"' + name + '"'
-        inner = f"CAST(TRY_CAST({q} AS DECIMAL(38,{scale})) AS VARCHAR)" if numeric else f"CAST({q} AS VARCHAR)"
+        if floating:
+            hexa = f"replace(printf('%a', CASE WHEN {q} = 0 THEN 0.0 ELSE CAST({q} AS DOUBLE) END), 'p+', 'p')"
+            inner = f"CASE WHEN {q} IS NULL THEN NULL WHEN isnan({q}) THEN 'nan' WHEN isinf({q}) THEN CASE WHEN {q} > 0 THEN 'inf' ELSE '-inf' END ELSE {hexa} END"
+        else:
+            inner = f"length(CAST({q} AS VARCHAR)) || ':' || CAST({q} AS VARCHAR)"
         parts.append(f"coalesce({inner}, '~')")
     return "md5(concat_ws('|', " + ", ".join(parts) + "))"

@@ -124,13 +124,14 @@ def auc_per_class(points: DataFrame) -> DataFrame:
     agg = pre.groupBy("class_idx").agg(
         F.sum("pos").cast("bigint").alias("P"),
         F.sum("neg").cast("bigint").alias("N"),
-        (2 * F.sum(F.col("pos") * F.col("neg_before")) + F.sum(F.col("pos") * F.col("neg"))).cast("bigint").alias("_num"),
+        # doubles: products of counts pass 2**63 on large tables
+        F.sum(F.col("pos").cast("double") * (2.0 * F.col("neg_before") + F.col("neg"))).alias("_num"),
     )
     return agg.select(
         "class_idx",
         "P",
         "N",
-        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_num") / (2.0 * F.col("P") * F.col("N"))).otherwise(F.lit(0.0)).alias("roc_auc"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_num") / (2.0 * F.col("P").cast("double") * F.col("N").cast("double"))).otherwise(F.lit(0.0)).alias("roc_auc"),
     )
 
 

@@ -127,8 +127,13 @@ def split_report(df: DataFrame, label_col: str = "label_idx", split_col: str = "
     )
 
 
-def validate_splits(df: DataFrame, label_col: str = "label_idx", split_col: str = "split", num_classes: int | None = None) -> DataFrame:
-    """Missing / infinite cells, class presence and max |proportion - train proportion| per split."""
+def validate_splits(df: DataFrame, label_col: str = "label_idx", split_col: str = "split", num_classes: int | None = None, schemas: list | None = None) -> DataFrame:
+    """Missing / infinite cells, class presence and max |proportion - train proportion| per split.
+
+    ``schemas``: the splits' schemas where they were read from separate tables; ``identical_features`` compares them.
+    """
+    layouts = [[(f.name, f.dataType) for f in s.fields if f.name != split_col] for s in schemas or [df.schema]]
+    same = all(layout == layouts[0] for layout in layouts)
     feats = [n for n in numeric_columns(df, exclude=(label_col,))]
     miss = sum((F.when(c(n).isNull() | F.isnan(c(n)), 1).otherwise(0) for n in feats), F.lit(0))
     infs = sum((F.when(is_inf(c(n)), 1).otherwise(0) for n in feats), F.lit(0))
@@ -152,7 +157,7 @@ def validate_splits(df: DataFrame, label_col: str = "label_idx", split_col: str
     b = cells.select(F.struct(*cells.columns).alias("cells"))
     row = a.unionByName(b, allowMissingColumns=True).agg(F.max("checks").alias("checks"), F.max("cells").alias("cells"))
     return row.select(
-        F.lit(True).alias("identical_features"),
+        F.lit(same).alias("identical_features"),
         (F.col("cells.missing_cells") == 0).alias("no_missing"),
         (F.col("cells.infinite_cells") == 0).alias("no_infinite"),
         F.col("checks.all_classes_present").alias("all_classes_present"),

@@ -126,8 +126,10 @@ def filter_category(preds: DataFrame, category: str = "all") -> DataFrame:
 
 
 def search_predictions(preds: DataFrame, term: str) -> DataFrame:
-    """Substring match on the row number or the lower-cased class name."""
-    t = term.lower()
+    """Substring match on the row number or the lower-cased class name; a blank term matches every row."""
+    t = term.strip().lower()
+    if not t:
+        return preds
     return preds.filter(F.col("row").cast("string").contains(t) | F.lower(F.col("prediction")).contains(t))
 
 

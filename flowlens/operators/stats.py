@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.exprs import as_missing, c, numeric_columns, pct_guard
 from flowlens.operators.ordered import _written, exact_quantiles
+from flowlens.session import ship_package
 
 # Fixed values that must equal the reference.
 CORR_THRESHOLD = 0.90
@@ -48,87 +49,60 @@ def describe_numeric(df: DataFrame, target_col: str | None = "Label", cols: list
 
 
 def corr_matrix(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None) -> DataFrame:
-    """Pearson matrix as long rows ``(feature_1, feature_2, correlation)``; NULL where a variance is 0.
+    """Pearson matrix as long rows ``(feature_1, feature_2, correlation)``, complete by pairs.
 
-    Without missing values (the cleaned table) the matrix comes from one pass of
-    Spark ML's Gramian-based ``Correlation`` (tree aggregation on the executors;
-    the P x P result is bounded by the feature count).  With missing values it is
-    pairwise complete, from one Gramian of values, squares and presence masks.
+    NaN and infinite cells are missing.  A pair's correlation uses the rows that have both values; it is NULL with
+    fewer than two such rows or if either value does not vary over them.  Columns are shifted by their mean and scaled by their
+    deviation first, so co-moments of large, narrow values keep their digits; each task multiplies its batches into P x P
+    matrices of co-moments and the tasks' matrices are added up by pair.
     """
     feats = _features(df, target_col, cols)
-    wide = df.select(*[as_missing(c(n).cast("double")).alias(n) for n in feats])
-    pre = wide.agg(
-        *[F.count_if(c(n).isNull()).alias(f"n{i}") for i, n in enumerate(feats)],
-        *[F.stddev_samp(c(n)).alias(f"s{i}") for i, n in enumerate(feats)],
-    ).first()
-    nulls = [pre[f"n{i}"] for i in range(len(feats))]
-    flat = [not pre[f"s{i}"] for i in range(len(feats))]  # zero (or undefined) variance
     spark = df.sparkSession
-    if sum(nulls) == 0:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-
-        vec = VectorAssembler(inputCols=feats, outputCol="_v").transform(wide).select("_v")
-        mat = Correlation.corr(vec, "_v").first()[0].toArray()
-        rows = [
-            (a, b, None if (flat[i] or flat[j] or mat[i, j] != mat[i, j]) else float(mat[i, j]))
-            for i, a in enumerate(feats)
-            for j, b in enumerate(feats)
-        ]
-        return spark.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
-    return _pairwise_complete(wide, feats)
-
-
-def _pairwise_complete(wide: DataFrame, feats: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson from one Gramian of Z = [x (0 if missing), x^2, present mask].
-
-    Every per-pair sum over rows where both values are present is an entry of
-    Z^T Z (e.g. sum x_i over rows with x_j present = G[x_i, m_j]).  The Gramian
-    is rebuilt from Spark ML's one-pass correlation, means and variances of Z, so
-    the data pass stays on the executors; the 3P x 3P result is bounded.
-    """
+    wide = df.select(*[c(n).cast("double").alias(n) for n in feats])
+    wide = wide.select(*[F.when(~F.isnan(c(n)) & (F.abs(c(n)) < F.lit(float("inf"))), c(n)).alias(n) for n in feats])
+    ship_package(spark)
+    stats = wide.agg(
+        *[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(feats)], *[F.stddev_pop(c(n)).alias(f"s{i}") for i, n in enumerate(feats)]
+    ).first()
+    shift = [stats[f"m{i}"] or 0.0 for i in range(len(feats))]
+    scale = [stats[f"s{i}"] or 1.0 for i in range(len(feats))]
+    sums = wide.mapInArrow(comoment_rows(shift, scale), "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    # after shifting and scaling, rounding leaves about 1e-16 of a unit per row; less than that is no variation
+    varies = (F.col("n") >= 2) & (vx > F.col("n") * 1e-15) & (vy > F.col("n") * 1e-15)
+    r = F.when(varies, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cxy / F.sqrt(vx * vy)))))
+    name = lambda k: F.element_at(F.array(*[F.lit(n) for n in feats]), F.col(k) + 1)
+    return total.select(name("i").alias("feature_1"), name("j").alias("feature_2"), r.alias("correlation"))
+
+
+def comoment_rows(shift: list[float], scale: list[float]):
+    """Arrow batches of P columns -> one row per pair of columns and task with the sums over rows that have both values."""
     import numpy as np
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    p = len(feats)
-    z = wide.select(
-        *[F.coalesce(c(n), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(feats)],
-        *[F.coalesce(c(n) * c(n), F.lit(0.0)).alias(f"q{i}") for i, n in enumerate(feats)],
-        *[c(n).isNotNull().cast("double").alias(f"m{i}") for i, n in enumerate(feats)],
-    )
-    cols = [f"{k}{i}" for k in ("x", "q", "m") for i in range(p)]
-    vec = VectorAssembler(inputCols=cols, outputCol="_z").transform(z).select("_z").cache()
-    try:
-        corr = Correlation.corr(vec, "_z").first()[0].toArray()
-        st = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_z")).alias("s")).first()["s"]
-    finally:
-        vec.unpersist()
-    n = float(st["count"])
-    mean = st["mean"].toArray()
-    var = st["variance"].toArray()
-    sd = np.sqrt(np.maximum(var, 0.0))
-    cov = np.nan_to_num(corr) * np.outer(sd, sd)
-    gram = (n - 1.0) * cov + n * np.outer(mean, mean)  # sum over rows of z_a * z_b
-    X, Q, M = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
-    nn = gram[M, M]
-    sx = gram[X, M]  # [i, j]: sum x_i over rows where j is present (and i, since x is 0 when missing)
-    sxx = gram[Q, M]
-    sxy = gram[X, X]
-    rows = []
-    for i, a in enumerate(feats):
-        for j, b in enumerate(feats):
-            k = nn[i, j]
-            r = None
-            if k >= 2:
-                vx = sxx[i, j] - sx[i, j] ** 2 / k
-                vy = sxx[j, i] - sx[j, i] ** 2 / k
-                cxy = sxy[i, j] - sx[i, j] * sx[j, i] / k
-                scale_x, scale_y = max(abs(sxx[i, j]), 1.0), max(abs(sxx[j, i]), 1.0)
-                if vx > 1e-12 * scale_x and vy > 1e-12 * scale_y:
-                    r = 1.0 if i == j else float(max(-1.0, min(1.0, cxy / np.sqrt(vx * vy))))
-            rows.append((a, b, r))
-    return wide.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    import pyarrow as pa
+
+    def run(batches):
+        p = len(shift)
+        kinds = {k: np.zeros((p, p)) for k in ("n", "sx", "sxx", "sxy")}
+        for batch in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False).astype(float) for col in batch.columns])
+            there = ~np.isnan(x)
+            x = np.where(there, (x - np.array(shift)) / np.array(scale), 0.0)
+            m = there.astype(float)
+            kinds["n"] += m.T @ m
+            kinds["sx"] += x.T @ m
+            kinds["sxx"] += (x * x).T @ m
+            kinds["sxy"] += x.T @ x
+        i, j = (a.ravel() for a in np.indices((p, p)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(a.ravel()) for a in (
+                kinds["n"], kinds["sx"], kinds["sx"].T, kinds["sxx"], kinds["sxx"].T, kinds["sxy"]))],
+            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+        )
+
+    return run
 
 
 def corr_pairs(df: DataFrame, target_col: str | None = "Label", cols: list[str] | None = None, threshold: float = CORR_THRESHOLD) -> DataFrame:

@@ -10,28 +10,28 @@ from flowlens.operators import reshape as R
 from flowlens.operators import score as SC
 from flowlens.plans.fixtures import CLEAN_FEATURES, FEATURES, LABEL
 from flowlens.plans.q_eval import RULES, classes, rule_probability
-from flowlens.plans.q_prepare import split_part
-from flowlens.plans.q_quality import flows_in
+from flowlens.plans.q_quality import flows_clean, flows_in
 from flowlens.plans.registry import register
+from flowlens.plans.stages import stage
 from flowlens.plans.sqltext import hash_sql, with_prepared
 from flowlens.sources.tables import read_table
 
 COLS = [LABEL] + CLEAN_FEATURES
 
 
-def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test-split flows with a stable row number (the uploaded file's rows)."""
-    return SC.row_numbers(split_part(spark, sf_dir, "test"))
+def uploaded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaned flows with a stable row number, written once: predictions and features share the numbers."""
+    return stage(spark, "uploaded_rows", sf_dir, lambda: SC.row_numbers(flows_clean(spark, sf_dir)))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.score_batch(test_rows(spark, sf_dir), CLEAN_FEATURES, lambda x: rule_probability("A"), classes(spark, sf_dir), row_col="row")
+    return SC.score_batch(uploaded_rows(spark, sf_dir), CLEAN_FEATURES, lambda x: rule_probability("A"), classes(spark, sf_dir), row_col="row")
 
 
 _WA = [f"CAST({r} AS DOUBLE)" for r in RULES["A"]]
 _ARR = "[" + ", ".join(f"({w}) / ({' + '.join(_WA)})" for w in _WA) + "]"
 _PRED_CTES = f"""
-tst AS (SELECT *, CAST(row_number() OVER (ORDER BY {hash_sql(COLS)}) - 1 AS BIGINT) AS "row" FROM (SELECT {", ".join(COLS)} FROM flows_split WHERE split = 'test')),
+tst AS (SELECT *, CAST(row_number() OVER (ORDER BY {hash_sql(COLS)}) - 1 AS BIGINT) AS "row" FROM flows_clean),
 tsp AS (SELECT "row", {_ARR} AS p FROM tst),
 preds AS (SELECT "row", coalesce(m.label, 'Unknown_' || CAST(list_position(p, list_max(p)) - 1 AS VARCHAR)) AS prediction,
   round_even(list_max(p), 4) AS confidence FROM tsp LEFT JOIN lmap m ON m.idx = list_position(p, list_max(p)) - 1)"""
@@ -99,7 +99,7 @@ def q_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(f'SELECT p."row", prediction, confidence, {", ".join("t." + c for c in COLS)} FROM preds p LEFT JOIN tst t ON p."row" = t."row"'),
 )
 def q_lookup_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.lookup_row(predictions(spark, sf_dir), test_rows(spark, sf_dir))
+    return SC.lookup_row(predictions(spark, sf_dir), uploaded_rows(spark, sf_dir))
 
 
 _C_EXTRA = "CAST(CASE WHEN destination_port % 11 = 0 THEN 20 ELSE 0 END AS DOUBLE)"
@@ -115,7 +115,7 @@ _C_EXTRA = "CAST(CASE WHEN destination_port % 11 = 0 THEN 20 ELSE 0 END AS DOUBL
 )
 def q_join_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A six-output scorer over five known classes: index 5 has no name."""
-    rows = test_rows(spark, sf_dir)
+    rows = uploaded_rows(spark, sf_dir)
     p6 = F.concat(rule_probability("A"), F.array(F.expr(_C_EXTRA)))
     idx = rows.select("row", argmax_index(p6).alias("pred_idx"))
     return SC.join_label_map(idx, classes(spark, sf_dir)).select("row", "pred_idx", "prediction")

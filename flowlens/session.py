@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_spark(app: str = "flowlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session or build a local one configured for the engine.
@@ -60,6 +65,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    import uuid
-
     return f"{base}/flowlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors (once per application).
+
+    The archive is written under the shared checkpoint folder and handed to Spark, so that worker
+    functions are pickled by reference and module-level caches live as long as the Python worker.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(os.path.join(root, "flowlens")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    path = scratch_dir(spark, "package") + "/flowlens.zip"
+    jvm = sc._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    stream.write(buffer.getvalue())
+    stream.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)

@@ -15,7 +15,7 @@ import csv
 import io
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,14 +23,14 @@ from flowlens.session import scratch_dir
 
 REPLACEMENT_CHAR = "�"
 CORRUPT = "_corrupt_record"
+FILE, FILE_ROW = "source_file", "file_row"
 
 
-def src_discover(spark: SparkSession, raw_dir: str, pattern: str = "*.csv") -> list[str]:
-    """``*.csv`` files of a folder sorted by name; error if the folder is missing or has none."""
+def src_discover(spark: SparkSession, raw_dir: str, pattern: str = "*.csv", recursive: bool = False) -> list[str]:
+    """``*.csv`` files of one folder (with ``recursive``: and below) sorted by name; error if there is none."""
     try:
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(raw_dir).select("path").collect()
-        )
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+        files = reader.load(raw_dir).select("path").collect()
     except Exception as exc:  # PATH_NOT_FOUND
         raise FileNotFoundError(raw_dir) from exc
     paths = sorted((r["path"] for r in files), key=lambda p: p.rsplit("/", 1)[-1])
@@ -59,45 +59,104 @@ def standard_header(names: list[str]) -> list[str]:
     return out
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    first = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).first()  # one line
-    if first is None:
-        raise ValueError(f"empty file: {path}")
-    return next(csv.reader(io.StringIO(first["value"].rstrip("\r"))))
-
-
-def _read_text_table(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, list[str]]:
-    raw_names = _header(spark, path, encoding)
-    names = standard_header(raw_names)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(schema)
-        .csv(path)
+def _headers(spark: SparkSession, paths: list[str], encoding: str) -> dict[str, list[str]]:
+    """First line of every file, in one job: the first row of the split that starts at byte 0."""
+    lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(paths)
+    first = (
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+        .filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("value")).collect()
+    )
+    found = {r["file"]: next(csv.reader(io.StringIO(r["value"].rstrip("\r")))) for r in first}
+    if len(found) < len(paths):
+        raise ValueError(f"empty file among {sorted(p.rsplit('/', 1)[-1] for p in paths)}")
+    return found
+
+
+def _cells(line: Column) -> Column:
+    """Number of cells of a raw CSV line: commas outside quotes, and one."""
+    return F.regexp_count(F.regexp_replace(line, '"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+
+
+def _staged(spark: SparkSession, paths: list[str], names: list[str], encoding: str) -> DataFrame:
+    """All files with one header as text cells (_c0, ...), the file, each row's number in it, and the raw line of odd rows.
+
+    Parsed once into a written table: the later passes read columns from it instead of parsing text again, and
+    queries on the corrupt-record column are allowed only over parsed results.
+    """
+    cells = [f"_c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*cells, CORRUPT]])
+    parsed = (
+        spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").option("escape", '"')
+        .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(schema).csv(paths)
     )
-    # Parse once into a written staging table: the later passes (encoding check, type
-    # inference, width count) read columns from it instead of re-parsing text, and
-    # Spark allows queries on the corrupt-record column only over parsed results.
     staged = scratch_dir(spark, "csv-stage")
-    df.write.mode("overwrite").parquet(staged)
-    return spark.read.parquet(staged), names
-
-
-def _typed(df: DataFrame, names: list[str], label_col: str) -> DataFrame:
-    """Numeric where every non-empty cell casts to double; NaN becomes NULL; the label stays text."""
-    slots = [f"_c{i}" for i in range(len(names))]
-    bad = df.agg(*[F.count_if(F.col(s).isNotNull() & (F.trim(F.col(s)) != "") & F.col(s).try_cast("double").isNull()).alias(s) for s in slots]).first()
-    cols = []
-    for s, n in zip(slots, names):
-        if n != label_col and bad[s] == 0:
-            v = F.trim(F.col(s)).try_cast("double")
-            cols.append(F.when(~F.isnan(v), v).alias(n))
-        else:
-            cols.append(F.col(s).alias(n))
-    return df.select(*cols)
+    parsed.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n")).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    # position in the file: rows before this split of the file, and the row's place in the split
+    splits = rows.groupBy(FILE, "_at").agg(F.count("*").alias("_rows"), F.min("_n").alias("_first"))
+    before = Window.partitionBy(FILE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(F.col(FILE).alias("_f"), F.col("_at").alias("_a"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return rows.join(starts, (F.col(FILE) == F.col("_f")) & (F.col("_at") == F.col("_a"))).withColumn(
+        FILE_ROW, F.col("_before") + F.col("_n") - F.col("_first")
+    ).select(*cells, CORRUPT, FILE, FILE_ROW)
+
+
+def _load(spark: SparkSession, paths: list[str], label_col: str, require: tuple[str, ...]) -> list[tuple[DataFrame, list[str], str]]:
+    """Text frames by (header, encoding): (rows, names, encoding).  The number of jobs follows the number of headers."""
+    def grouped(files: list[str], encoding: str) -> list[tuple[DataFrame, list[str], str]]:
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for file, raw in sorted(_headers(spark, files, encoding).items()):
+            by_header.setdefault(tuple(standard_header(raw)), []).append(file)
+        return [(_staged(spark, members, list(names), encoding), list(names), encoding) for names, members in by_header.items()]
+
+    def files_of(rows: DataFrame) -> set[str]:
+        return {r[FILE] for r in rows.select(FILE).distinct().collect()}
+
+    out, garbled = [], set()
+    for rows, names, encoding in grouped(paths, "UTF-8"):
+        if any(REPLACEMENT_CHAR in n for n in names):
+            garbled |= files_of(rows)
+            continue
+        if label_col in names:
+            slot = F.col(f"_c{names.index(label_col)}")
+            mine = files_of(rows.filter(slot.contains(REPLACEMENT_CHAR)))
+            garbled |= mine
+            if mine and mine == files_of(rows):
+                continue
+            rows = rows.filter(~F.col(FILE).isin(sorted(mine))) if mine else rows
+        out.append((rows, names, encoding))
+    if garbled:
+        out += grouped(sorted(garbled), "ISO-8859-1")
+    for _, names, _ in out:
+        src_require_columns(names, require)
+    return out
+
+
+def _narrow(rows: DataFrame, names: list[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows no wider than the header, and the wide ones; with ``strict`` a wide row raises."""
+    wide = F.coalesce(_cells(F.col(CORRUPT)) > len(names), F.lit(False))
+    dropped = rows.filter(wide).groupBy(FILE).agg(F.count("*").alias("n"))
+    if strict and (bad := dropped.first()):
+        raise ValueError(f"{bad[FILE]}: {bad['n']} row(s) wider than the header")
+    return rows.filter(~wide), dropped
+
+
+def _typed(frames: list[tuple[DataFrame, list[str]]], label_col: str) -> list[DataFrame]:
+    """Numeric where every non-empty cell of the whole load casts to double; NaN becomes NULL; the label stays text."""
+    seen: dict[str, int] = {}
+    for rows, names in frames:
+        slots = [f"_c{i}" for i in range(len(names))]
+        bad = rows.agg(*[F.count_if(F.col(s).isNotNull() & (F.trim(F.col(s)) != "") & F.col(s).try_cast("double").isNull()).alias(s) for s in slots]).first()
+        for slot, name in zip(slots, names):
+            seen[name] = seen.get(name, 0) + bad[slot]
+    out = []
+    for rows, names in frames:
+        cols = []
+        for i, n in enumerate(names):
+            v = F.trim(F.col(f"_c{i}")).try_cast("double")
+            cols.append((F.when(~F.isnan(v), v) if n != label_col and not seen[n] else F.col(f"_c{i}")).alias(n))
+        out.append(rows.select(*cols, FILE, FILE_ROW))
+    return out
 
 
 def src_csv(
@@ -108,24 +167,11 @@ def src_csv(
     require: tuple[str, ...] = ("Label",),
 ) -> tuple[DataFrame, DataFrame]:
     """One CSV file -> typed DataFrame, plus a one-row report (encoding, rows dropped as too wide)."""
-    encoding = "UTF-8"
-    df, names = _read_text_table(spark, path, encoding)
-    label_slot = f"_c{names.index(label_col)}" if label_col in names else None
-    garbled = any(REPLACEMENT_CHAR in n for n in names)
-    if not garbled and label_slot:
-        garbled = df.filter(F.col(label_slot).contains(REPLACEMENT_CHAR)).limit(1).count() > 0
-    if garbled:
-        encoding = "ISO-8859-1"
-        df, names = _read_text_table(spark, path, encoding)
-    src_require_columns(names, require, path)
-    last = f"_c{len(names) - 1}"
-    too_wide = F.col(CORRUPT).isNotNull() & F.col(last).isNotNull()
-    n_wide = df.filter(too_wide).count()
-    if n_wide and strict:
-        raise ValueError(f"{path}: {n_wide} row(s) wider than the header")
-    kept = df.filter(~too_wide).drop(CORRUPT)
-    report = spark.createDataFrame([(path.rsplit("/", 1)[-1], encoding, n_wide)], "file string, encoding string, dropped_wide_rows long")
-    return _typed(kept, names, label_col), report
+    ((rows, names, encoding),) = _load(spark, [path], label_col, require)
+    kept, dropped = _narrow(rows, names, strict)
+    n = (dropped.agg(F.sum("n")).first()[0] or 0) if not strict else 0
+    report = spark.createDataFrame([(path.rsplit("/", 1)[-1], encoding, n)], "file string, encoding string, dropped_wide_rows long")
+    return _typed([(kept, names)], label_col)[0].drop(FILE, FILE_ROW), report
 
 
 def src_require_columns(columns: list[str], required: tuple[str, ...], where: str = "") -> None:
@@ -134,34 +180,42 @@ def src_require_columns(columns: list[str], required: tuple[str, ...], where: st
         raise ValueError(f"required column(s) {missing} missing {('in ' + where) if where else ''}".strip())
 
 
-def read_flow_files(spark: SparkSession, raw_dir: str, label_col: str = "Label", strict: bool = True) -> DataFrame:
-    """Discover, read each file with its own header, normalise labels per file, union by name."""
+def read_flow_files(
+    spark: SparkSession, raw_dir: str, label_col: str = "Label", strict: bool = True, recursive: bool = False, positions: bool = False
+) -> DataFrame:
+    """Discover, read the files of each header together, type columns over the whole load, normalise labels, union by name.
+
+    ``positions`` keeps ``source_file`` and ``file_row`` (0-based data row in its file).
+    """
     from flowlens.operators.quality import std_labels
-    from flowlens.operators.reshape import union_outer
 
     frames = []
-    for p in src_discover(spark, raw_dir):
-        df, _ = src_csv(spark, p, label_col, strict)
-        frames.append(std_labels(df, label_col))
-    return union_outer(frames)
+    for rows, names, _ in _load(spark, src_discover(spark, raw_dir, recursive=recursive), label_col, (label_col,)):
+        frames.append((_narrow(rows, names, strict)[0], names))
+    out = union_files([std_labels(df, label_col) for df in _typed(frames, label_col)])
+    return out if positions else out.drop(FILE, FILE_ROW)
 
 
-def src_upload_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """An uploaded file: must end in .csv, have a header and at least one row; parse errors raise."""
-    if not path.lower().endswith(".csv"):
+def src_upload_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Uploaded files: must end in .csv, have a header and at least one row together; wide rows raise."""
+    paths = [path] if isinstance(path, str) else path
+    if not all(p.lower().endswith(".csv") for p in paths):
         raise ValueError("only .csv files are accepted")
-    df, _ = src_csv(spark, path, label_col="__no_label__", strict=True, require=())
+    frames = [(_narrow(rows, names, strict=True)[0], names) for rows, names, _ in _load(spark, paths, "", ())]
+    df = union_files(_typed(frames, "")).drop(FILE, FILE_ROW)
     if df.isEmpty():
         raise ValueError("the file has no data rows")
     return df
 
 
-def src_csv_width_filter(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Client-side rule: blank lines skipped, rows whose width differs from the header dropped."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("header", True).option("mode", "DROPMALFORMED").schema(schema).csv(path).select(
-        *[F.col(n).try_cast("double").alias(n) for n in names]
-    )
+def src_csv_width_filter(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Client-side rule: blank lines skipped, rows whose width differs from the header dropped.
+
+    A cell is a number where its text is one; a column with any other text stays text, so no cell is lost.
+    """
+    paths = [path] if isinstance(path, str) else path
+    frames = [(rows.filter(F.col(CORRUPT).isNull()), names) for rows, names, _ in _load(spark, paths, "", ())]
+    return union_files(_typed(frames, "")).drop(FILE, FILE_ROW)
 
 
 def src_metrics_json(spark: SparkSession, path: str, schema: str | None = None, required: bool = True, document: bool = False) -> DataFrame:

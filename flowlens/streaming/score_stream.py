@@ -1,11 +1,8 @@
 """Scoring as a micro-batch stream over arriving CSV files.
 
-``readStream`` (file source, fixed schema) -> the batch scoring transform ->
-Parquet sink with a checkpoint in the shared folder; a second query keeps the
-running prediction summary (complete-mode aggregate) and writes it per
-micro-batch.  ``availableNow`` processes what is there and stops, so the same
-job serves backfills and scheduled runs; a lost executor replays from the
-checkpoint (exactly-once file sink).
+``readStream`` (file source, fixed schema) -> the batch scoring transform -> one ``foreachBatch`` that writes each
+micro-batch's predictions and counts into a folder of its epoch, so that each file is read and scored once and a
+replayed epoch replaces its own output.  ``availableNow`` processes what is there and stops.
 """
 
 from __future__ import annotations
@@ -36,41 +33,29 @@ def score_stream(
     probability: Callable[[DataFrame], Column],
     mapping: DataFrame,
     out_dir: str | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> tuple[str, str]:
     """Run the stream to completion over the files present; returns (predictions path, summary path)."""
     out_dir = out_dir or scratch_dir(spark, "stream")
     src = (
         spark.readStream.schema(schema)
         .option("header", True)
-        .option("maxFilesPerTrigger", 8)
+        .options(**({"maxFilesPerTrigger": max_files_per_trigger} if max_files_per_trigger else {}))
         .csv(in_dir)
         .withColumn("source_file", F.input_file_name())
     )
     scored = _score(src, expected, probability, mapping)
     pred_path, summary_path = f"{out_dir}/predictions", f"{out_dir}/summary"
-    q1 = (
-        scored.writeStream.format("parquet")
-        .option("path", pred_path)
-        .option("checkpointLocation", f"{out_dir}/_ckpt_predictions")
-        .trigger(availableNow=True)
-        .start()
-    )
-    summary = scored.agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_samples"),
-        F.count_if(~SC.is_benign(F.col("prediction"))).cast("bigint").alias("predicted_attacks"),
-        F.count_if(SC.is_benign(F.col("prediction"))).cast("bigint").alias("predicted_benign"),
-    )
 
-    def write_summary(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(summary_path)
-
-    q2 = (
-        summary.writeStream.outputMode("complete")
-        .foreachBatch(write_summary)
-        .option("checkpointLocation", f"{out_dir}/_ckpt_summary")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q1.awaitTermination()
-    q2.awaitTermination()
+    def write(batch: DataFrame, epoch: int) -> None:
+        """Score a micro-batch once; a replayed epoch overwrites its own folder only."""
+        part = f"{pred_path}/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(part)
+        SC.prediction_summary(spark.read.parquet(part)).write.mode("overwrite").parquet(f"{out_dir}/counts/epoch={epoch}")
+
+    query = scored.writeStream.foreachBatch(write).option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = spark.read.parquet(f"{out_dir}/counts")
+    names = ("total_samples", "predicted_attacks", "predicted_benign")
+    counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names]).write.mode("overwrite").parquet(summary_path)
     return pred_path, summary_path
