@@ -1,10 +1,8 @@
-"""Helpers shared by the training-data operators: written hand-offs, package shipping, prefix sums, Arrow batches."""
+"""Helpers shared by the training-data operators: written hand-offs, prefix sums, Arrow batches."""
 
 from __future__ import annotations
 
-import io
 import os
-import zipfile
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -12,41 +10,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import ensure_checkpoint_dir, scratch_dir
-
-_SHIPPED: set[str] = set()
+from flowlens.session import ensure_checkpoint_dir, scratch_dir, ship_package  # noqa: F401
 
 #: Bytes of text that one step inside a Python task handles at a time.
 SLICE_BYTES = 4 << 20
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on the executors (once per application).
-
-    The archive is written under the shared checkpoint folder and handed to Spark, so that worker
-    functions are pickled by reference and module-level caches live as long as the Python worker.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(os.path.join(root, "flowlens")):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, root))
-    path = scratch_dir(spark, "package") + "/flowlens.zip"
-    jvm = sc._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
-    stream.write(buffer.getvalue())
-    stream.close()
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and return the table read back (cuts the lineage)."""
     spark = df.sparkSession
