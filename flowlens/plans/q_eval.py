@@ -8,6 +8,8 @@ normalises: ties in scores and predictions occur, as with real models.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from flowlens.operators import compare as CMP
 from flowlens.operators import evaluate as E
 from flowlens.operators import prepare as P
 from flowlens.plans.q_prepare import flows_enc
-from flowlens.plans.q_quality import flows_clean
 from flowlens.plans.fixtures import LABEL
 from flowlens.plans.registry import register
+from flowlens.plans.stages import stage
 from flowlens.plans.sqltext import with_prepared
 
 K = 5
@@ -55,17 +57,57 @@ def scored(spark: SparkSession, sf_dir: str, model: str, split: str) -> DataFram
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.label_mapping(flows_clean(spark, sf_dir), LABEL)
+    """The label map, read once from the written split table."""
+    return stage(spark, "label_map", sf_dir, lambda: P.label_mapping(flows_enc(spark, sf_dir), LABEL))
+
+
+class Evaluation:
+    """What one model's predictions on one split are judged by; every part is built when it is first asked for.
+
+    The (class, score) points are written once and shared by the AUC and both curves.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, model: str, split: str):
+        self.spark, self.sf_dir, self.model, self.split = spark, sf_dir, model, split
+
+    def __getitem__(self, part: str) -> DataFrame:
+        return getattr(self, part)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return scored(self.spark, self.sf_dir, self.model, self.split)
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        return classes(self.spark, self.sf_dir)
+
+    @cached_property
+    def conf(self) -> DataFrame:
+        return E.confusion(self.scored, self.classes)
+
+    @cached_property
+    def per_class(self) -> DataFrame:
+        return E.metrics_per_class(self.conf)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return E.metrics_overall(self.per_class)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return stage(self.spark, f"points_{self.model}_{self.split}", self.sf_dir, lambda: E.score_points(self.scored, self.classes))
+
+    @cached_property
+    def auc(self) -> DataFrame:
+        return stage(self.spark, f"auc_{self.model}_{self.split}", self.sf_dir, lambda: E.auc_per_class(self.points))
+
+    @cached_property
+    def auc_ovr(self) -> DataFrame:
+        return E.auc_ovr(self.auc)
 
 
-def evaluation(spark: SparkSession, sf_dir: str, model: str, split: str) -> dict[str, DataFrame]:
-    s = scored(spark, sf_dir, model, split)
-    cls = classes(spark, sf_dir)
-    conf = E.confusion(s, cls)
-    pc = E.metrics_per_class(conf)
-    pts = E.score_points(s, cls)
-    auc = E.auc_per_class(pts)
-    return {"scored": s, "classes": cls, "conf": conf, "per_class": pc, "overall": E.metrics_overall(pc), "points": pts, "auc": auc, "auc_ovr": E.auc_ovr(auc)}
+def evaluation(spark: SparkSession, sf_dir: str, model: str, split: str) -> Evaluation:
+    return Evaluation(spark, sf_dir, model, split)
 
 
 # ---------------------------------------------------------------- oracle SQL

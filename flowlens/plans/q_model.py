@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,24 +111,30 @@ def q_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def forest_trees(spark: SparkSession, sf_dir: str) -> list:
-    key = (spark.sparkContext.applicationId, sf_dir, "rf-trees")
+def model_trees(spark: SparkSession, sf_dir: str, kind: str) -> list:
+    key = (spark.sparkContext.applicationId, sf_dir, kind + "-trees")
     if key not in _MODELS:
-        f = fitted(spark, sf_dir, "rf")
-        _MODELS[key] = X.load_trees(X.tree_table(spark, f), "rf", classes(spark, sf_dir).count())
+        _MODELS[key] = X.load_trees(X.tree_table(spark, fitted(spark, sf_dir, kind)), kind, classes(spark, sf_dir).count())
     return _MODELS[key]
 
 
+def forest_trees(spark: SparkSession, sf_dir: str) -> list:
+    return model_trees(spark, sf_dir, "rf")
+
+
 @register("tree_table")
 def q_tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tree_table(spark, fitted(spark, sf_dir, "rf"))
 
 
 def explained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified 1 000-row sample of the test split with a row id."""
-    test = split_rows(spark, sf_dir, "test").drop("split")
-    sample = P.stratified_sample(test, EXPLAIN_SAMPLE, "label")
-    return SC.row_numbers(sample, name="row_id")
+    """Stratified 1 000-row sample of the test split with a row id, written once: every query sees the same ids."""
+
+    def build() -> DataFrame:
+        test = split_rows(spark, sf_dir, "test").drop("split")
+        return SC.row_numbers(P.stratified_sample(test, EXPLAIN_SAMPLE, "label"), name="row_id")
+
+    return stage(spark, "explained_rows", sf_dir, build)
 
 
 @register("shap_values")
@@ -154,6 +161,53 @@ def q_shap_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("tree_table_boosted")
+def q_tree_table_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.tree_table(spark, fitted(spark, sf_dir, "ovr"))
+
+
+@register("shap_values_boosted")
+def q_shap_values_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions of each class's margin of the boosted model."""
+    return X.shap_values(explained_rows(spark, sf_dir), CLEAN_FEATURES, model_trees(spark, sf_dir, "ovr"))
+
+
+@register("shap_base_boosted")
+def q_shap_base_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.base_values(spark, model_trees(spark, sf_dir, "ovr"))
+
+
+@register("shap_additivity_error", "SELECT 0.0::DOUBLE AS forest_error, 0.0::DOUBLE AS boosted_error")
+def q_shap_additivity_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest |base + sum(phi) - output| over rows and classes, to six places: probability (forest), margin (boosted)."""
+    rows = explained_rows(spark, sf_dir)
+    parts = []
+    for kind in ("rf", "ovr"):
+        model = fitted(spark, sf_dir, kind).model
+        output = vector_to_array(F.col("probability" if kind == "rf" else "rawPrediction"))
+        want = model.transform(rows).select("row_id", F.posexplode(output).alias("class_idx", "output"))
+        trees = model_trees(spark, sf_dir, kind)
+        sums = X.shap_values(rows, CLEAN_FEATURES, trees).groupBy("row_id", "class_idx").agg(F.sum("phi").alias("phi"))
+        error = F.abs(F.col("base_value") + F.col("phi") - F.col("output"))
+        joined = sums.join(X.base_values(spark, trees), "class_idx").join(want, ["row_id", "class_idx"])
+        parts.append(joined.select(F.lit(kind).alias("kind"), error.alias("error")))
+    worst = lambda kind: F.round(F.max(F.when(F.col("kind") == kind, F.col("error"))), 6)
+    return parts[0].unionByName(parts[1]).agg(worst("rf").alias("forest_error"), worst("ovr").alias("boosted_error"))
+
+
+@register("explain_maps")
+def q_explain_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows given as feature maps (one feature left out, an infinite one kept) explained by the boosted model."""
+    rows = explained_rows(spark, sf_dir)
+    given = [f for f in CLEAN_FEATURES if f != "syn_flag_count"]
+    maps = rows.select("row_id", F.create_map(*[x for f in given for x in (F.lit(f), F.col(f))]).alias("features"))
+    maps = maps.withColumn("features", F.map_concat("features", F.create_map(F.lit("unknown"), F.lit(float("inf")))))
+    f, trees = fitted(spark, sf_dir, "ovr"), model_trees(spark, sf_dir, "ovr")
+    filled = X.rows_from_maps(maps, CLEAN_FEATURES)
+    explained = X.explain_rows(T.predict(f, filled), X.shap_values(filled, CLEAN_FEATURES, trees), X.base_values(spark, trees))
+    return SC.join_label_map(explained, classes(spark, sf_dir), "predicted_idx").select("row_id", "prediction", "confidence", "base_value", "top_features")
+
+
 @register("explain_rows")
 def q_explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = explained_rows(spark, sf_dir)
