@@ -5,18 +5,20 @@ aggregation buffer, and a window partitioned only by class sorts the whole class
 in one task.  Both break when one group holds a third of the data.  The helpers
 here split each group into value-range buckets first:
 
-1. count distinct values per group (partial aggregation absorbs hot values);
-2. bucket boundaries per group from mergeable ``percentile_approx`` sketches over
-   the distinct values (bounded size: groups x buckets), checkpointed so every
-   recomputation sees the same boundaries;
-3. bucket totals -> exclusive prefix per group on the small bucket table;
-4. exact work (rank, prefix sum) only inside buckets, which are bounded.
+1. quantiles: a mergeable sketch brackets them, rows below are counted, and only the values inside the brackets are
+   ranked; no table that grows with the input is written;
+2. running sums (curves, AUC): bucket boundaries per group from ``percentile_approx`` over the distinct points,
+   checkpointed so every recomputation sees the same boundaries; bucket totals -> exclusive prefix per group on the
+   small bucket table; exact work only inside buckets, which are bounded.
 
 The result is exact; the sketch only decides the partitioning.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ DEFAULT_BUCKETS = 1
 # Buckets grow with the largest group so that one bucket holds about this many distinct values.
 TARGET_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 16_384
+# Rank error of the bracketing sketch, half width of a bracket in rank, groups that are taken whole.
+SKETCH_ACCURACY = 10_000
+BRACKET = 3 / SKETCH_ACCURACY
+SMALL_GROUP = 2 * SKETCH_ACCURACY
 
 
 def _fixed(df: DataFrame) -> DataFrame:
@@ -83,44 +89,43 @@ def exact_quantiles(
         out = data.groupBy(*group_cols).agg(arr.alias("_q"))
         return out.select(*group_cols, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    vc = _written(data.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c")), "distinct-values")
-    vcb = value_buckets(vc, group_cols, value_col, buckets)
-    bt = vcb.groupBy(*group_cols, "_b").agg(F.sum("_c").alias("_bc"))
-    w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bt = (
-        bt.withColumn("_end", F.sum("_bc").over(w))
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-        .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*group_cols)))
-    )
-    # target ranks (0-based) of every probability: floor and ceil of p*(n-1)
-    targets = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit("lo").alias("_k"), F.floor(pos).alias("_r"), pos.alias("_pos")))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit("hi").alias("_k"), F.ceil(pos).alias("_r"), pos.alias("_pos")))
-    need = (
-        bt.select(*group_cols, "_b", "_start", "_end", F.explode(F.array(*targets)).alias("_t"))
-        .select(*group_cols, "_b", "_start", "_end", "_t.*")
-        .filter((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-    )
-    keys = group_cols + ["_b"]
-    inside = vcb.join(need.select(*keys).distinct(), keys, "left_semi")
-    wv = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_cum", F.sum("_c").over(wv))
-    hit = inside.join(need, keys).filter(
-        (F.col("_r") >= F.col("_start") + F.col("_cum") - F.col("_c")) & (F.col("_r") < F.col("_start") + F.col("_cum"))
+    return _bracketed(data, group_cols, value_col, probs, names, buckets)
+
+
+def _bracketed(data: DataFrame, group_cols: list[str], value_col: str, probs: list[float], names: list[str], buckets: int) -> DataFrame:
+    """Exact quantiles from three passes; only the values near a quantile are shuffled.
+
+    1. one mergeable sketch per group brackets every quantile (rank error of the sketch: 1 / SKETCH_ACCURACY);
+    2. rows below each bracket are counted, and the distinct values inside it are counted by value;
+    3. the exact ranks are picked from what lies inside, a small part of a large group.
+    """
+    v = F.col(value_col)
+    edges = [min(1.0, max(0.0, p + side * BRACKET)) for p in probs for side in (-1, 1)]
+    sketch = data.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, edges, SKETCH_ACCURACY).alias("_e")
     )
-    per_prob = hit.groupBy(*group_cols, "_i").agg(
-        F.max(F.when(F.col("_k") == "lo", v)).alias("_lo"),
-        F.max(F.when(F.col("_k") == "hi", v)).alias("_hi"),
-        F.max("_pos").alias("_pos"),
+    whole = F.col("_n") < F.lit(SMALL_GROUP)  # every value of a small group is inside
+    lows = [F.when(whole | F.lit(p <= BRACKET), F.col("_min")).otherwise(F.col("_e")[2 * i]) for i, p in enumerate(probs)]
+    highs = [F.when(whole | F.lit(p >= 1 - BRACKET), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]) for i, p in enumerate(probs)]
+    brackets = _fixed(sketch.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group_cols)], "_n", *[x.alias(f"_lo{i}") for i, x in enumerate(lows)],
+                                    *[x.alias(f"_hi{i}") for i, x in enumerate(highs)]))
+    match = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group_cols))) if group_cols else F.lit(True)
+    near = data.select(*group_cols, v.alias("_v")).join(brackets, match)
+    below = near.groupBy(*group_cols).agg(F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(probs))])
+    marks = F.array(*[F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(len(probs))])
+    inside = near.select(*group_cols, "_v", F.explode(F.array_compact(marks)).alias("_i")).groupBy(*group_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = ordered_prefix(inside, [*group_cols, "_i"], "_v", ["_c"], buckets)
+    ranks = below.select(*group_cols, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), (F.lit(p) * (F.col("_n") - 1)).alias("_pos"), F.col(f"_b{i}").alias("_below")) for i, p in enumerate(probs)
+    ])).alias("_t")).select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group_cols)], F.col("_t._i").alias("_ti"), F.col("_t._pos").alias("_pos"), F.col("_t._below").alias("_below"))
+    at = ranked.join(ranks, match & (F.col("_i") == F.col("_ti")))
+    place = lambda r: (r - F.col("_below") >= F.col("_c_before")) & (r - F.col("_below") < F.col("_c_upto"))
+    picked = at.groupBy(*group_cols, "_i").agg(
+        F.max(F.when(place(F.floor("_pos")), F.col("_v"))).alias("_lo"), F.max(F.when(place(F.ceil("_pos")), F.col("_v"))).alias("_hi"), F.max("_pos").alias("_pos")
     )
     frac = F.col("_pos") - F.floor(F.col("_pos"))
-    q = F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
-    per_prob = per_prob.withColumn("_q", q)
-    return per_prob.groupBy(*group_cols).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
-    )
+    value = F.when(frac == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac)
+    return picked.withColumn("_q", value).groupBy(*group_cols).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
 def ordered_prefix(

@@ -38,12 +38,10 @@ def describe_numeric(df: DataFrame, target_col: str | None = "Label", cols: list
     """mean, std (sample), min, 25%, median, 75%, max per numeric feature (NULL ignored)."""
     feats = _features(df, target_col, cols)
     lf = long_form(df, feats)
-    moments = lf.filter(F.col("value").isNotNull()).groupBy("feature_name").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    wide = df.select(*[as_missing(c(n).cast("double")).alias(n) for n in feats])
+    rows = wide.agg(*[F.struct(F.lit(n).alias("feature_name"), F.avg(c(n)).alias("mean"), F.stddev_samp(c(n)).alias("std"), F.min(c(n)).alias("min"),
+                               F.max(c(n)).alias("max"), F.count(c(n)).alias("_n")).alias(f"f{i}") for i, n in enumerate(feats)])
+    moments = rows.select(F.inline(F.array(*[f"f{i}" for i in range(len(feats))]))).filter("_n > 0").drop("_n")
     qs = exact_quantiles(lf, ["feature_name"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"], approx=approx)
     return moments.join(qs, "feature_name", "left").select("feature_name", "mean", "std", "min", "p25", "median", "p75", "max")
 

@@ -83,3 +83,17 @@ def test_splits_of_different_schemas_are_told(spark):
     other = df.withColumn("x", F.col("x").cast("string")).schema
     assert P.validate_splits(df, schemas=[df.schema, df.schema]).first()["identical_features"]
     assert not P.validate_splits(df, schemas=[df.schema, other]).first()["identical_features"]
+
+
+def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
+    from flowlens.operators import ordered
+
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 50)
+    rng = np.random.default_rng(7)
+    groups = {"normal": rng.normal(size=60_000), "ties": np.round(rng.exponential(size=50_000), 1), "one": np.full(30_000, 2.5), "two": np.array([1.0, 4.0])}
+    groups["half"] = np.where(rng.random(40_000) < 0.34, 7.0, rng.normal(size=40_000))
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, v double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["g"]: r for r in ordered.exact_quantiles(rows, ["g"], "v", probs, [f"q{i}" for i in range(7)]).collect()}
+    for g, xs in groups.items():
+        assert np.allclose([got[g][f"q{i}"] for i in range(7)], np.quantile(xs, probs), rtol=1e-12, atol=0), g
