@@ -15,12 +15,13 @@ from flowlens.plans.q_eval import LONG_METRICS_SQL
 from flowlens.plans.q_score import sql as scored_sql
 from flowlens.plans.registry import ORACLE, register
 from flowlens.plans.sqltext import with_clean, with_prepared
+from flowlens.plans.stages import resettable
 from flowlens.session import scratch_dir
 from flowlens.sources import csv as CSV
 
 # Raw headers as a flow exporter writes them: stray and doubled spaces.
 RAW_NAMES = {LABEL: " Label", "destination_port": " Destination  Port", "flow_duration": "Flow Duration ", "flow_bytes_s": "Flow Bytes/s"}
-_RAW: dict = {}
+_RAW: dict = resettable({})
 
 
 def raw_flow_dir(spark: SparkSession, sf_dir: str) -> str:

@@ -16,6 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.session import scratch_dir
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_CACHES: list[dict] = []
+
+
+def resettable(cache: dict) -> dict:
+    """A memo of a plan module (fitted models, raw files) that :func:`reset` empties too."""
+    _CACHES.append(cache)
+    return cache
 
 
 def stage(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -29,3 +36,5 @@ def stage(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataF
 
 def reset() -> None:
     _WRITTEN.clear()
+    for cache in _CACHES:
+        cache.clear()
