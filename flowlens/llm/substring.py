@@ -35,7 +35,7 @@ WINDOW_WORDS = 13
 ANCHOR_WORDS = 4
 #: Text bytes behind one bucket of anchors, passages in one shard, different passages of an anchor that is split.
 BUCKET_BYTES = 32 << 20
-SHARD_PASSAGES = 50_000
+SHARD_PASSAGES = 25_000
 SPLIT_PASSAGES = 5_000
 #: Stands for a null doc_id: behind all others.
 LAST_ID = np.iinfo(np.int64).max
