@@ -25,9 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the one with the smallest id (of rows that share it, any one)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     groups = simhash.simhash_components(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
-    kept = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct(), "kept-ids")
+    # one shuffle of the texts serves the join and the dropping of rows that share an id, at every size
+    rows = docs.withColumn("_kept", key).join(kept.hint("merge"), "_kept", "left_semi")
+    return rows.dropDuplicates(["_kept"]).select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
