@@ -47,12 +47,14 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.kept: dict[str, bytes] = {"": b""}
+        self.kept: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     def ids(self, word: str) -> bytes:
+        if not word:  # empty texts and the edges of texts that begin or end with white space
+            return b""
         known = self.kept.get(word)
         if known is None:
             if word[-1] in ",.;:!?" and len(word) > 1 and word[:-1].isalpha():

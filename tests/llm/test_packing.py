@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from flowlens.llm import packing
@@ -46,6 +47,18 @@ def test_packs_gapless_and_tight(spark, monkeypatch):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
+def test_empty_words_after_the_cache_was_cleared(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    library = Tokenizer.from_file(PATH)
+    texts = ["one two three four five", "", " six", "seven\n", None, " \t ", "eight, nine. ten", "", "\none two"]
+    for _ in range(2):
+        got = list(packing.encoded_texts(pa.array(texts, pa.string()), PATH))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+    assert len(packing.encoder(PATH).kept) <= 3
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, used = packing.best_fit(np.array([7, 6, 3, 4, 1]), 10)
     assert used.tolist() == [10, 10, 1] and bins.tolist() == [0, 1, 0, 1, 2] and offsets.tolist() == [0, 0, 7, 6, 0]
