@@ -29,7 +29,7 @@ from flowlens.llm.common import ship_package, text_slices, written
 #: At most about so many labelled rows teach the word list, and so many documents train the scorer (hash samples).
 LABELLED_ROWS = 20_000
 FIT_DOCUMENTS = 8_000
-#: Word beginnings of these lengths enter the list if in at least MIN_ROWS toxic rows and RATIO times as frequent there.
+#: Word beginnings of these lengths enter the list if in at least MIN_ROWS toxic texts and RATIO times as frequent there.
 BEGINNINGS, MIN_ROWS, RATIO, MOST_WORDS = (4, 5, 6, 7, 8), 5, 20.0, 2_000
 #: Letters of a word that the scorer's features keep.
 PREFIX = 5
@@ -154,11 +154,15 @@ def _share(column: str, rows: int, most: int):
 
 
 def toxic_word_list(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> frozenset[str]:
-    """Word beginnings typical of rows labelled toxic, from a hash sample of about ``rows`` labelled rows."""
+    """Word beginnings typical of texts labelled toxic, from a hash sample of about ``rows`` labelled rows.
+
+    Every different text counts once, however many rows hold it; it is toxic if one of them is labelled so.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id is not null and toxic is not null")
     sample = labels.filter(_share("label_id", labels.count(), rows)).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     #: Bounded by ``rows``: a few hundred kilobytes.
     known = _text_rows(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    known = known.groupBy(F.sha2("text", 256).alias("same")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -169,7 +173,7 @@ def toxic_word_list(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
             for d, toxic in enumerate(part.column(0).to_pylist()):
                 own = set(words.codes[words.ends[d] : words.ends[d + 1]].tolist())
                 found[toxic > 0].update({words.whole[c][:k] for c in own for k in BEGINNINGS if k <= len(words.whole[c])})
-                found[toxic > 0]["\0"] += 1  # counts the rows
+                found[toxic > 0]["\0"] += 1  # counts the texts
             names = sorted(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_pydict({"word": names, "clean": [found[0][w] for w in names], "toxic": [found[1][w] for w in names]},
                                              pa.schema([("word", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
@@ -181,8 +185,11 @@ def toxic_word_list(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
         return frozenset()
     odds = (F.col("toxic") / total["toxic"]) / ((F.col("clean") + 1) / total["clean"])
     picked = counts.filter((F.col("word") != "\0") & (F.col("toxic") >= MIN_ROWS) & (odds > RATIO))
-    words = {r["word"] for r in picked.orderBy(odds.desc(), "word").limit(MOST_WORDS).collect()}
-    return frozenset(w for w in words if not any(w[:k] in words for k in BEGINNINGS if k < len(w)))
+    # a beginning says nothing new beside a shorter one: these go before the list is cut
+    shorter = F.explode(F.filter(F.array(*[F.substring("word", 1, k) for k in BEGINNINGS]), lambda b: F.length(b) < F.length("word")))
+    covered = picked.select("word", shorter.alias("shorter")).join(picked.select(F.col("word").alias("shorter")), "shorter", "left_semi")
+    merged = picked.join(covered.select("word"), "word", "left_anti")
+    return frozenset(r["word"] for r in merged.orderBy(odds.desc(), "word").limit(MOST_WORDS).collect())
 
 
 def estimate_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,31 @@ def test_held_out_accuracy(spark):
     assert n.get((False, True), 0) / n[(False, False)] < 0.01
 
 
+def test_held_out_accuracy_with_copies_of_one_toxic_document(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    learn = labels.filter("doc_id % 2 = 0")
+    copied = docs.join(learn.filter("toxic = 1"), "doc_id").orderBy(F.size(F.split("text", " ")).desc(), "doc_id").first()["text"]
+    third = learn.filter("toxic = 1 and pmod(xxhash64(doc_id), 3) = 0").select(F.col("doc_id").alias("copy_id"))
+    docs = docs.join(F.broadcast(third), F.col("doc_id") == F.col("copy_id"), "left")
+    docs = docs.withColumn("text", F.when(F.col("copy_id").isNotNull(), F.lit(copied)).otherwise(F.col("text"))).drop("copy_id")
+    model = quality.fit(docs, learn)
+    held = labels.filter("doc_id % 2 = 1").withColumn("bad", (F.col("quality") == 0) | (F.col("toxic") == 1))
+    scored = quality.score(docs, model).join(held, "doc_id").select("bad", "rejected", "text").toArrow()
+    bad, rejected = scored["bad"].to_numpy(), scored["rejected"].to_numpy()
+    listed = quality._Documents(scored["text"].combine_chunks(), model.lexicon).votes()[:, -1] == quality.REJECT
+    # the other 144 toxic texts alone teach a recall of 0.956; 0.958 here, and 0.916 when every copy counted
+    assert rejected[bad].mean() > 0.94 and rejected[~bad].mean() < 0.01 and listed[~bad].mean() < 0.01
+
+
+def test_list_merges_beginnings_before_it_is_cut(spark, monkeypatch):
+    toxic = [f"zorkblatter{k} the x{k}" + (" quuxly" if k % 2 else "") for k in range(40)]
+    clean = [f"the cat sat on mat{k}" for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(440)], "doc_id long, toxic int")
+    monkeypatch.setattr(quality, "MOST_WORDS", 2)
+    assert quality.toxic_word_list(df, labels) == {"zork", "quux"}
+
+
 def test_edge_rows(spark):
     schema = "doc_id long, text string, rejected string, reject_score string, x int"
     rows = [(1, None), (2, ""), (None, "the cat and the dog"), (3, "the cat is on a mat"), (3, "the cat is on a mat"), (4, " \n\t "), (5, "word " * 50_000), (6, "X!! " * 90)]
