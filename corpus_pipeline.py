@@ -24,13 +24,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id (of rows that share it, any one)."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    groups = simhash.simhash_components(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
-    kept = written(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct(), "kept-ids")
-    # one shuffle of the texts serves the join and the dropping of rows that share an id, at every size
-    rows = docs.withColumn("_kept", key).join(kept.hint("merge"), "_kept", "left_semi")
-    return rows.dropDuplicates(["_kept"]).select(*docs.columns)
+    """Keep one row of each group: the one with the smallest id (null ids last), of rows that share it the smallest by hash."""
+    #: 128 bits of the whole row: neither null nor shared ids bring different rows together.
+    whole = [x for n in docs.columns for x in (F.col(n).isNull(), F.col(n))]
+    rows = docs.withColumns({"_row1": F.xxhash64(F.lit(1), *whole), "_row2": F.xxhash64(F.lit(2), *whole)})
+    key = ["_row1", "_row2"]
+    kept = written(simhash.group_firsts(rows, key, simhash.SHINGLE_WORDS, simhash.MAX_BITS).select(*key), "kept-rows")
+    # one shuffle of the texts serves the join and the dropping of equal rows, at every size
+    return rows.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ spanning forest of the links it found (never all pairs), and the forests meet in
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +66,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``documents`` -> ``(doc_id, fp)``, one row per input row; ``fp`` is the fingerprint as a signed long.
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, keys: Sequence[str] = ()) -> DataFrame:
+    """``documents`` -> ``(doc_id, *keys, fp)``, one row per input row; ``fp`` is the fingerprint as a signed long.
 
-    Null and empty texts have fingerprint zero; other columns are ignored.
+    Null and empty texts have fingerprint zero; columns besides the longs ``keys`` are ignored.
     """
     ship_package(docs.sparkSession)
 
@@ -77,10 +77,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
         for part in text_slices(batches):
             texts = part.column(1).cast(pa.binary()).to_pylist()
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fps)], names=["doc_id", *keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys).mapInArrow(
+        run, ", ".join(f"{n} long" for n in ["doc_id", *keys, "fp"])
     )
 
 
@@ -189,27 +189,44 @@ def trie_self_join(nodes: DataFrame, max_bits: int = MAX_BITS, subtrie_limit: in
     return pairs.groupBy("lo", "hi").applyInPandas(_subtrie_pair, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``documents`` -> ``(doc_id, fingerprint, component_id)``, one row per input row.
+def fingerprint_groups(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fps(doc_id, fp)`` -> ``(node, component_id, group_id)`` of every distinct fingerprint.
 
-    ``fingerprint``: 16 lowercase hex digits.  ``component_id``: the smallest ``doc_id`` among the rows reachable
-    over links of at most ``max_bits`` differing bits (null only if every such row has a null id).  Null, empty
-    and blank texts share fingerprint zero and link like any other; repeated rows share a component; an empty
-    table gives an empty result; other columns are ignored.
+    ``group_id``: the smallest fingerprint of the component; ``component_id``: its smallest ``doc_id``.
     """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-nodes")
     labels = connected_components(written(trie_self_join(nodes.select("fp"), max_bits), "fp-links"))
     linked = labels.join(nodes, F.col("node") == F.col("fp")).select("node", "label", "first_id")
     smallest = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    member = written(linked.join(smallest, "label").select("node", "component_id"), "fp-members")
+    member = written(linked.join(smallest, "label").select("node", "component_id", "label"), "fp-members")
     whole = written(
         nodes.join(member, F.col("fp") == F.col("node"), "left").select(
-            F.col("fp").alias("node"), F.coalesce("component_id", "first_id").alias("component_id")
+            F.col("fp").alias("node"), F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("label", "fp").alias("group_id")
         ),
         "fp-components",
     )
     drop_written(member)
-    return fps.join(whole, F.col("fp") == F.col("node")).select(
+    return whole
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``documents`` -> ``(doc_id, fingerprint, component_id)``, one row per input row.
+
+    ``fingerprint``: 16 lowercase hex digits.  ``component_id``: the smallest ``doc_id`` among the rows reachable
+    over links of at most ``max_bits`` differing bits (null only if every such row has a null id).  Null, empty
+    and blank texts share fingerprint zero and link like any other; repeated rows share a component; an empty
+    table gives an empty result; other columns are ignored.
+    """
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    return fps.join(fingerprint_groups(fps, max_bits), F.col("fp") == F.col("node")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def group_firsts(docs: DataFrame, keys: Sequence[str], shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(group_id, doc_id, *keys)``: of each group of :func:`simhash_components` the row with the smallest id (null
+    ids last), of rows that share it the one with the smallest ``keys`` (columns of longs)."""
+    fps = written(fingerprints(docs, shingle, keys), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)).alias("first")
+    firsts = fps.groupBy("fp").agg(first).join(fingerprint_groups(fps, max_bits), F.col("fp") == F.col("node"))
+    return firsts.groupBy("group_id").agg(F.min("first").alias("first")).select("group_id", *[f"first.{n}" for n in ["doc_id", *keys]])

@@ -62,6 +62,20 @@ def test_stages_one_by_one(spark):
     assert total(whole) == total(packed)
 
 
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").select("text").limit(60).collect()]
+    alone = [i for i, (_, c) in simhash_rows(list(enumerate(texts))).items() if sum(c == d for _, d in simhash_rows(list(enumerate(texts))).values()) == 1]
+    a, b, c, d, e, f, *_ = [texts[i] for i in alone]
+    rows = [(None, a), (None, b), (None, c), (None, c), (1, d), (7, d), (7, e), (7, f), (3, f), (3, f), (None, d)]
+    df = docs.select("doc_id", "text").limit(0).union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    df = df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in docs.dtypes])
+    got = corpus_pipeline.near_duplicate_stage(spark, df, D)
+    assert got.columns == docs.columns
+    want = [(None, a), (None, b), (None, c), (1, d), (7, e), (3, f)]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
