@@ -24,6 +24,7 @@ from flowlens.operators import train as T
 from flowlens.plans.fixtures import CLEAN_FEATURES
 from flowlens.plans.q_eval import classes
 from flowlens.plans.q_prepare import flows_enc
+from flowlens.plans.q_score import uploaded_rows
 from flowlens.plans.registry import register
 from flowlens.plans.stages import resettable, stage
 
@@ -230,9 +231,9 @@ def q_shap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("score_batch_model")
 def q_score_batch_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch scoring of the test split with the fitted forest (row, prediction, confidence)."""
+    """Batch scoring of all cleaned flows with the fitted forest (row, prediction, confidence); rows as in ``score_batch``."""
     f = fitted(spark, sf_dir, "rf")
-    rows = SC.row_numbers(split_rows(spark, sf_dir, "test").drop("split"))
+    rows = uploaded_rows(spark, sf_dir)
 
     def proba(x: DataFrame):
         return T.probability_column("rf")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.train import poisson_weight, sample_grid
 
+from conftest import SF_SMALL
+
 
 def test_poisson_weights(spark):
     df = spark.range(200_000).select(F.col("id").cast("string").alias("k"))
@@ -25,3 +27,11 @@ def test_sample_grid_seeded():
     first, second = sample_grid(grid, 5), sample_grid(grid, 5)
     assert first == second and len(first) == 5 and len({tuple(d.values()) for d in first}) == 5
     assert len(sample_grid({"a": [1, 2]}, 5)) == 2
+
+
+def test_model_scores_every_cleaned_row(spark):
+    from flowlens.plans import q_model, q_quality
+
+    scored = q_model.q_score_batch_model(spark, SF_SMALL).collect()
+    n = q_quality.flows_clean(spark, SF_SMALL).count()
+    assert n > 0 and sorted(r["row"] for r in scored) == list(range(n))
