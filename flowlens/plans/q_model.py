@@ -30,7 +30,7 @@ from flowlens.plans.stages import resettable, stage
 
 RF_PARAMS = {"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 1, "max_features": "sqrt"}
 GBT_PARAMS = {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.9}
-SEARCH_GRID = {"n_estimators": [5, 10], "max_depth": [4, 8], "min_samples_split": [2, 5], "min_samples_leaf": [1, 2], "max_features": ["sqrt"]}
+SEARCH_GRID = {"n_estimators": [5, 10], "max_depth": [4, 8], "min_samples_leaf": [1, 2], "max_features": ["sqrt"]}
 EXPLAIN_SAMPLE = 1000
 _MODELS: dict = resettable({})
 

@@ -35,3 +35,27 @@ def test_model_scores_every_cleaned_row(spark):
     scored = q_model.q_score_batch_model(spark, SF_SMALL).collect()
     n = q_quality.flows_clean(spark, SF_SMALL).count()
     assert n > 0 and sorted(r["row"] for r in scored) == list(range(n))
+
+
+def test_subset_eval_gives_all_six_metrics(spark):
+    from flowlens.operators.select import subset_eval
+
+    def flows(rows):
+        return spark.createDataFrame([(x, 0.0, label, 1.0) for x, label in rows], "x double, y double, label_idx long, weight double")
+
+    good = [(0.0, 0)] * 6 + [(1.0, 1)] * 6
+    classes = spark.createDataFrame([(0, "a"), (1, "b")], "idx long, label string")
+    test = flows([(0.0, 0)] * 6 + [(1.0, 1)] * 2 + [(1.0, 0)] * 2)
+    params = {"n_estimators": 5, "max_depth": 2}
+    row = subset_eval(spark, flows(good * 5), flows(good), test, ["x", "y"], classes, params, kind="rf", counts=[1]).filter("feature_count = 1").first()
+    want = {"accuracy": 0.8, "precision_macro": 0.75, "recall_macro": 0.875, "f1_macro": (6 / 7 + 2 / 3) / 2, "f1_weighted": (8 * 6 / 7 + 2 * 2 / 3) / 10, "roc_auc_macro": 0.875}
+    for metric, value in want.items():
+        assert math.isclose(row[f"test_{metric}"], value, abs_tol=1e-9) and math.isclose(row[f"valid_{metric}"], 1.0, abs_tol=1e-9)
+
+
+def test_search_draws_only_different_fits(spark):
+    from flowlens.operators.train import rf_estimator
+    from flowlens.plans.q_model import SEARCH_GRID
+
+    applied = [(e.getNumTrees(), e.getMaxDepth(), e.getMinInstancesPerNode()) for e in map(rf_estimator, sample_grid(SEARCH_GRID, 100))]
+    assert len(set(applied)) == len(applied)
