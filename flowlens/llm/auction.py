@@ -10,7 +10,7 @@ exactly tight, and the least script is read off them letter by letter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 FAR = 1 << 60
 STATES = 4
@@ -57,10 +57,29 @@ class Lattice:
                 self.arcs.append([(out[q] - self.offset, self.target, END)] if out[q] < FAR else [])
         #: A row costs at least what its fault does: feasible prices to begin with.
         self.prices = [floor[n // STATES] for n in range(self.target)] + [0]
+        # on a node without a way to the target, insertions would raise each other's prices for ever: it is priced out
+        leads = self._leading(lambda n, cost, j: True)
+        for n in range(self.target):
+            if not leads[n]:
+                self.prices[n] = FAR
+
+    def _leading(self, admit: Callable[[int, int, int], bool]) -> bytearray:
+        """Nodes from which admitted arcs ``(node, cost, next)`` lead to the target."""
+        good = bytearray(self.target + 1)
+        good[self.target] = 1
+        for layer in range(self.rows, -1, -1):
+            nodes = range(STATES * layer, STATES * layer + STATES)
+            for _ in range(STATES - 1):  # insertions lead through at most so many nodes of one layer
+                for n in nodes:
+                    if not good[n]:
+                        good[n] = any(good[j] and admit(n, cost, j) for cost, j, _ in self.arcs[n])
+        return good
 
     def auction(self, origin: int) -> int:
         """Cost from state ``origin`` before the first row to the target (FAR if there is no way); prices converge for it."""
         arcs, prices, target = self.arcs, self.prices, self.target
+        if prices[origin] >= FAR:
+            return FAR
         path, node = [origin], origin
         while node != target:
             best, to = FAR, -1
@@ -72,8 +91,6 @@ class Lattice:
                 prices[node] = best
                 if len(path) > 1:
                     path.pop()
-                elif best >= FAR:
-                    return FAR
                 node = path[-1]
             else:
                 path.append(to)
@@ -82,16 +99,8 @@ class Lattice:
 
     def _open(self) -> bytearray:
         """Nodes from which tight arcs lead to the target."""
-        arcs, prices = self.arcs, self.prices
-        good = bytearray(self.target + 1)
-        good[self.target] = 1
-        for layer in range(self.rows, -1, -1):
-            nodes = range(STATES * layer, STATES * layer + STATES)
-            for _ in range(STATES - 1):  # insertions lead through at most so many nodes of one layer
-                for n in nodes:
-                    if not good[n] and prices[n] < FAR:
-                        good[n] = any(good[j] and prices[n] == cost + prices[j] for cost, j, _ in arcs[n])
-        return good
+        prices = self.prices
+        return self._leading(lambda n, cost, j: prices[n] < FAR and prices[n] == cost + prices[j])
 
     def scripts(self, origins: Sequence[int]) -> dict[int, tuple[int, list[str], int]]:
         """For each origin: (cost, edits before or of each row and behind the last one, state reached), least script first.

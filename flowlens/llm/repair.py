@@ -24,7 +24,7 @@ from flowlens.llm import auction
 from flowlens.llm.auction import FAR, STATES
 from flowlens.llm.common import ship_package, shuffle_width, written
 
-BLOCK_ROWS = 256
+BLOCK_ROWS = 64
 #: Units that one step of a sweep brings together.
 FAN = 256
 #: Leading characters of a text that its place among rows of one turn and role follows (then the hash).
