@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, mixing, packing, prefix_tokens, quality, sharding, simhash, substring, topk, vptree
+from flowlens.llm import chat, manifest, mixing, packing, prefix_tokens, quality, repair, sharding, simhash, substring, topk, urls, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +150,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_association_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, urls.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op13_auction_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit_conversations(table(spark, sf_dir, "conversations"))
