@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from flowlens.llm.topk import top_inner_products
-from flowlens.llm.vptree import FACTOR, nearest_neighbours
+from flowlens.llm.vptree import FACTOR, build_tree, nearest_neighbours, search_tree
 
 SCHEMA = "vec_id long, embedding array<float>, row string, dim string, score string"
 
@@ -66,3 +66,35 @@ def test_recall_with_the_production_factor(spark):
     for r in nearest_neighbours(df, F.col("vec_id") % 20 == 0, factor=FACTOR).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(truth[q] & found[q]) / 20 for q in truth]) >= 0.9
+
+
+def test_recall_does_not_depend_on_the_norms():
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(4000, 16))
+    unit += 1.5 * rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ids = np.arange(4000)
+    for lengths in (np.where(ids == 7, 3.0, 1.0), np.where(ids == 7, 1e160, 1.0), np.exp(0.2 * rng.normal(size=4000)), np.exp(2.0 * rng.normal(size=4000))):
+        matrix = unit * lengths[:, None]
+        asked = np.flatnonzero(ids % 40 == 0)
+        scores = matrix[asked] @ matrix.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        truth = [set(x.tolist()) for x in np.argsort(-scores, axis=1)[:, :20]]
+        tree = build_tree(ids, ids, matrix)
+        for factor, least in ((1.0, 1.0), (FACTOR, 0.9)):
+            found = [set() for _ in asked]
+            for q, hit in zip(*[x.tolist() for x in search_tree(tree, ids[asked], ids[asked], matrix[asked], 20, factor)[1:4:2]]):
+                found[q // 40].add(hit)
+            assert np.mean([len(a & b) / 20 for a, b in zip(truth, found)]) >= least
+
+
+def test_equal_vectors_of_different_shards_score_alike():
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(500, 48))
+    ids, asked = np.arange(500), rng.normal(size=(7, 48))
+    large = build_tree(ids, ids, matrix)
+    small = build_tree(ids[:30] + 1000, ids[:30] + 1000, matrix[:30])
+    names = np.arange(7) + 5000
+    one = {(q, i): s for q, i, s in zip(*[search_tree(large, names, names, asked, 500, 1.0)[c].tolist() for c in (1, 3, 4)])}
+    two = {(q, i - 1000): s for q, i, s in zip(*[search_tree(small, names, names, asked, 30, 1.0)[c].tolist() for c in (1, 3, 4)])}
+    assert len(two) == 210 and all(one[x] == s for x, s in two.items())
