@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import ship_package, text_slices, written
@@ -148,7 +148,7 @@ def _text_rows(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def _share(column: str, rows: int, most: int):
+def _share(column: str | Column, rows: int, most: int):
     """A hash sample of about ``most`` of ``rows`` rows."""
     return F.pmod(F.xxhash64(F.lit(5), column), F.lit(1 << 30)) < F.lit(int(min(1.0, most / max(1, rows)) * (1 << 30)))
 
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_documents: int = FIT_DOCU
     """Fit labeller accuracies on all documents' votes and the scorer on about ``fit_documents`` of them."""
     ship_package(docs.sparkSession)
     lexicon = toxic_word_list(docs, labels) if labels is not None else frozenset()
-    chosen = _share("doc_id", docs.count(), fit_documents)
+    chosen = _share(F.coalesce(F.col("text").cast("string"), F.lit("")), docs.count(), fit_documents)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -263,9 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame | None, fit_documents: int = FIT_DOCU
     junk_tables, junk = estimate_labellers(patterns[:, :k], counts)
     toxic_tables, toxic = estimate_labellers(patterns[:, k:], counts)
     bad = {r["pattern"]: 1 - (1 - a) * (1 - b) for r, a, b in zip(found, junk, toxic)}
+    #: Texts are sampled by their hash and count once: neither null nor hot ids, nor copies, fill or empty the sample.
+    sample = cast.filter("at is not null").dropDuplicates(["pattern", "at", "x"])
     rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4").astype(float), bad[r["pattern"]])
-            for r in cast.filter("at is not null").orderBy("pattern", "at").limit(2 * fit_documents).toLocalIterator()]
-    weights, bias = _train(rows)
+            for r in sample.orderBy(F.xxhash64("at", "x"), "pattern", "at", "x").limit(2 * fit_documents).toLocalIterator()]
+    weights, bias = _train(rows) if rows else (np.zeros(FEATURES, np.float32), -1.0)  # nothing learned: all are kept
     return Model(lexicon, dict(zip(JUNK + TOXIC, [*junk_tables, *toxic_tables])), weights, bias)
 
 

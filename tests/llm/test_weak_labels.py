@@ -70,3 +70,10 @@ def test_edge_rows(spark):
 
 def test_votes_of_empty_batch():
     assert quality._Documents(pa.array([None, ""], pa.string())).votes().tolist() == [[0] * 9] * 2
+
+
+def test_null_ids_are_not_rejected_whole(spark):
+    rows = [(None, f"plain words of document {i} that say nothing bad and go on for a while like any other text would.") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, 100):
+        assert quality.score(docs, quality.fit(docs, None, fit_documents=most)).filter("rejected").count() < 40
