@@ -112,14 +112,14 @@ def q_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_trees(spark: SparkSession, sf_dir: str, kind: str) -> list:
+def model_trees(spark: SparkSession, sf_dir: str, kind: str) -> X.Ensemble:
     key = (spark.sparkContext.applicationId, sf_dir, kind + "-trees")
     if key not in _MODELS:
         _MODELS[key] = X.load_trees(X.tree_table(spark, fitted(spark, sf_dir, kind)), kind, classes(spark, sf_dir).count())
     return _MODELS[key]
 
 
-def forest_trees(spark: SparkSession, sf_dir: str) -> list:
+def forest_trees(spark: SparkSession, sf_dir: str) -> X.Ensemble:
     return model_trees(spark, sf_dir, "rf")
 
 
