@@ -5,7 +5,8 @@ again.  Slot t of the schedule sits at the van der Corput point of t; the source
 into intervals, and the interval that holds the point says whose slot it is.  The r-th slot of a source takes block
 r of its stream: its documents in hash order, cut into blocks of equal words, over and over.  Slots beyond a
 source's target are dropped, the last one is cut, and a source that the schedule leaves short gets its missing slots
-at the end, so each source takes its target to the word.
+at the end, so each source takes its target to the word.  The slots give the mix its order: a document stands where the
+first slot that takes of it stands, so every beginning of the mix holds the sources near their shares.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def slot_schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
         quota.join(have, F.col("key") == F.col("have_key"), "left").withColumn("have", F.coalesce("have", F.lit(0)))
         .filter("have < slots")
         .select("key", F.explode(F.expr("sequence(have, slots - 1)")).alias("rank"))
-        .select(F.lit(total).cast("long").alias("slot"), "key", "rank")
+        .select((F.lit(total) + F.col("rank")).cast("long").alias("slot"), "key", "rank")
     )
     every = ranked.unionByName(short).withColumnRenamed("key", "slot_key")
     return (
@@ -151,12 +152,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoc
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document once per pass that takes of it, text cut to the words taken, columns as given."""
+    """The mixed corpus, in the order of the schedule: each document once per pass that takes of it, at the place of its
+    first slot in that pass, text cut to the words taken, columns as given.  So every beginning of the result holds the
+    sources near their shares."""
     named = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
     documents, takes = mix_sources(named, **options, carry=("_mix_row",))
     cut = takes.join(documents, "row").select(
-        F.col("_mix_row").alias("_mix_take"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size"))
+        F.col("_mix_row").alias("_mix_take"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size"),
+        F.col("first_slot").alias("_mix_slot"), F.col("epoch").alias("_mix_epoch"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_mix_words") >= F.col("_mix_size"), F.col("text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("_mix_words").cast("int")), " "))
-    return named.join(cut, F.col("_mix_row") == F.col("_mix_take")).withColumn("text", text).select(*docs.columns)
+    mixed = named.join(cut, F.col("_mix_row") == F.col("_mix_take")).withColumn("text", text)
+    return mixed.orderBy("_mix_slot", "_mix_epoch", "_mix_row").select(*docs.columns)

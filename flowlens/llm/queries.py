@@ -97,9 +97,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_low_discrepancy_mix")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, takes = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    taken = takes.groupBy(F.col("row").alias("take_row")).agg(F.sum("words").alias("taken"))
+    taken = takes.groupBy(F.col("row").alias("take_row")).agg(F.sum("words").alias("taken"), F.min("first_slot").alias("first_slot"))
     return documents.join(taken, F.col("row") == F.col("take_row"), "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot"
     )
 
 

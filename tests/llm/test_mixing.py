@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from flowlens.llm import mixing
 from flowlens.llm.mixing import mix_sources, mixed_rows, slot_schedule, van_der_corput
 
 SCHEMA = "doc_id long, text string, source string, size string, key long, row string"
@@ -82,3 +83,32 @@ def test_mixed_rows_and_empty(spark):
     empty = frame(spark, rows).limit(0)
     documents, takes = mix_sources(empty)
     assert documents.count() == 0 and takes.count() == 0 and mixed_rows(empty).count() == 0
+
+
+def farthest(parts, share):
+    """How far, in words, any beginning of a list of (source, words) is from the sources' shares."""
+    seen, worst = Counter(), 0.0
+    for source, n in parts:
+        seen[source] += n
+        total = sum(seen.values())
+        worst = max([worst, *(abs(seen[s] - total * share[s]) for s in share)])
+    return worst
+
+
+def test_order_of_the_mix_comes_from_the_schedule(spark, monkeypatch):
+    rows = [(i, "w " * 16, "abc"[i % 3]) for i in range(900)]
+    want = targets_by_rounds({"a": 4800, "b": 4800, "c": 4800})
+    share = {s: t / sum(want.values()) for s, t in want.items()}
+
+    def order():
+        out = mixed_rows(frame(spark, rows), block=16)
+        return [(r["source"], len(r["text"].split())) for r in out.collect()]
+
+    def by_slot():
+        documents, takes = mix_sources(frame(spark, rows), block=16)
+        took = takes.join(documents.withColumn("source", F.element_at(F.array(*map(F.lit, "abc")), (F.col("doc_id") % 3 + 1).cast("int"))), "row")
+        return [(r["source"], r["words"]) for r in took.orderBy("first_slot", "epoch").collect()]
+
+    assert farthest(order(), share) < 12 * 16 and farthest(by_slot(), share) < 12 * 16
+    monkeypatch.setattr(mixing, "van_der_corput", lambda t: F.lit(0.0))
+    assert farthest(order(), share) > 100 * 16 and farthest(by_slot(), share) > 100 * 16
