@@ -6,9 +6,13 @@ the fitted model (bounded by trees x nodes) is on the driver.
 
 from __future__ import annotations
 
+import math
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import evaluate as E
+from flowlens.session import scratch_dir
 
 SEED = 42
 # Spark's largest tree depth stands in for "unlimited".
@@ -205,57 +210,102 @@ def random_search(
     return combos[best], float(model.avgMetrics[best]), secs
 
 
-# Poisson(1) cumulative probabilities for k = 0..5 (bootstrap multiplicity of a row).
-_POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+#: Poisson(1) cumulative probabilities for k = 0..12 (bootstrap multiplicity of a row); what is left is below the
+#: resolution of the 30-bit draw.
+_POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+OOB_GROUP = 10
+FIT_PARALLELISM = 3
+_BITS = 32
 
 
 def poisson_weight(row_key: Column, tree: int, seed: int = SEED) -> Column:
     """Deterministic bootstrap multiplicity of a row in tree ``tree`` (Poisson(1) by inverse CDF)."""
-    u = (F.abs(F.xxhash64(row_key, F.lit(tree), F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    w = F.lit(5.0)
+    u = F.pmod(F.xxhash64(row_key, F.lit(tree), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    w = F.lit(float(len(_POISSON1_CDF)))
     for k in range(len(_POISSON1_CDF) - 1, -1, -1):
         w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(float(k))).otherwise(w)
     return w
 
 
+def in_bag_bits(row_key: Column, n_trees: int, seed: int = SEED) -> Column:
+    """``array<bigint>``, 32 trees a word: bit t is set if the row is in tree t's bag."""
+    words = []
+    for lo in range(0, n_trees, _BITS):
+        word = F.lit(0).cast("bigint")
+        for t in range(lo, min(lo + _BITS, n_trees)):
+            word = word.bitwiseOR(F.when(poisson_weight(row_key, t, seed) > 0, F.lit(1 << (t - lo))).otherwise(F.lit(0)).cast("bigint"))
+        words.append(word)
+    return F.array(*words)
+
+
+def _out_of_bag(bits: Column, tree: int) -> Column:
+    return F.get(bits, F.lit(tree // _BITS)).bitwiseAND(F.lit(1 << (tree % _BITS))) == 0
+
+
+def oob_votes(rows: DataFrame, models: list, label_col: str = "label_idx", group: int = OOB_GROUP) -> DataFrame:
+    """``rows(_row, label, features, _in_bag)`` -> ``(_row, label, votes, voters)``, one row each.
+
+    ``votes`` sums the class probabilities of the trees whose bag misses the row, ``voters`` counts these trees.  Every
+    ``group`` trees score the rows in one pass; the passes' partial sums meet in one aggregate by row.
+    """
+    k = max(m.numClasses for m in models)
+    passes = []
+    for lo in range(0, len(models), group):
+        scored = rows
+        part = range(lo, min(lo + group, len(models)))
+        for t in part:
+            m = models[t].copy().setProbabilityCol(f"_p{t}").setRawPredictionCol(f"_r{t}").setPredictionCol(f"_y{t}")
+            vote = F.when(_out_of_bag(F.col("_in_bag"), t), vector_to_array(F.col(f"_p{t}")))
+            scored = m.transform(scored).withColumn(f"_p{t}", vote).drop(f"_r{t}", f"_y{t}")
+        one = lambda t, c: F.coalesce(F.get(F.col(f"_p{t}"), F.lit(c)), F.lit(0.0))
+        sums = [reduce(add, (one(t, c) for t in part)).alias(f"_s{c}") for c in range(k)]
+        voters = reduce(add, (F.col(f"_p{t}").isNotNull().cast("int") for t in part)).alias("_n")
+        passes.append(scored.select("_row", label_col, voters, *sums))
+    every = reduce(DataFrame.unionByName, passes)
+    summed = every.groupBy("_row", label_col).agg(F.sum("_n").alias("voters"), *[F.sum(f"_s{c}").alias(f"_s{c}") for c in range(k)])
+    return summed.select("_row", label_col, F.array(*[F.round(f"_s{c}", 9) for c in range(k)]).alias("votes"), "voters")
+
+
 def rf_oob(
     train: DataFrame,
     features: list[str],
     params: dict,
-    n_trees: int,
+    n_trees: int | None = None,
     label_col: str = "label_idx",
     weight_col: str | None = "weight",
     key_col: str = "row_key",
+    parallelism: int = FIT_PARALLELISM,
 ) -> tuple[DataFrame, list]:
     """Bagged forest with out-of-bag accuracy (Spark ML has no OOB score).
 
-    Each tree is a one-tree forest (``bootstrap=False``, random feature subsets per
-    node) fitted on rows weighted by a hashed Poisson(1) multiplicity times the
-    class weight.  A row votes only through trees where its multiplicity is 0.
-    Returns a one-row frame (oob_accuracy, oob_rows) and the fitted trees.
+    Each tree (``n_trees``, by default the forest's ``n_estimators``) is a one-tree forest (``bootstrap=False``, random
+    feature subsets per node) fitted on rows weighted by a hashed Poisson(1) multiplicity times the class weight.
+    The rows and their in-bag bits are written once; a row votes only through trees whose bag misses it.  Vote sums
+    are rounded to nine digits, so that equal votes tie however they were added up; the smaller class index wins.
+    Returns a one-row frame (oob_accuracy, oob_rows, rows_without_vote, n_trees) and the fitted trees; the accuracy is
+    null if no row has a vote.
     """
-    x = assembler(features).transform(train)
-    models = []
-    for t in range(n_trees):
-        w = poisson_weight(F.col(key_col), t)
-        if weight_col:
-            w = w * F.col(weight_col)
-        data = x.withColumn("_bw", w).filter(F.col("_bw") > 0)
+    spark = train.sparkSession
+    n = int(params.get("n_estimators", 100)) if n_trees is None else n_trees
+    keep = [label_col, key_col, "features", *([weight_col] if weight_col else [])]
+    path = scratch_dir(spark, "oob")
+    bagged = assembler(features).transform(train).select(*keep, in_bag_bits(F.col(key_col), n).alias("_in_bag"))
+    bagged.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+
+    def grow(t: int):
+        w = poisson_weight(F.col(key_col), t) * (F.col(weight_col) if weight_col else F.lit(1.0))
         est = rf_estimator(dict(params, n_estimators=1), label_col, None).setBootstrap(False).setWeightCol("_bw").setSeed(SEED + t)
-        models.append(est.fit(data))
-    votes = x
-    for t, m in enumerate(models):
-        out = m.setProbabilityCol(f"_p{t}").setRawPredictionCol(f"_r{t}").setPredictionCol(f"_y{t}").transform(votes)
-        votes = out.withColumn(f"_p{t}", F.when(poisson_weight(F.col(key_col), t) == 0, vector_to_array(F.col(f"_p{t}")))).drop(f"_r{t}", f"_y{t}")
-    k = models[0].numClasses
-    zero = F.array_repeat(F.lit(0.0), k)
-    total = zero
-    for t in range(len(models)):
-        total = F.zip_with(total, F.coalesce(F.col(f"_p{t}"), zero), lambda a, b: a + b)
-    voted = votes.withColumn("_sum", total).filter(F.aggregate("_sum", F.lit(0.0), lambda a, b: a + b) > 0)
-    pred = F.array_position(F.col("_sum"), F.array_max("_sum")) - 1
-    summary = voted.agg(
-        (F.count_if(pred == F.col(label_col)) / F.count(F.lit(1))).alias("oob_accuracy"),
-        F.count(F.lit(1)).cast("bigint").alias("oob_rows"),
-    )
+        return est.fit(rows.withColumn("_bw", w).filter(~_out_of_bag(F.col("_in_bag"), t) & (F.col("_bw") > 0)))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = list(pool.map(grow, range(n)))
+    votes = oob_votes(rows.select("_row", label_col, "features", "_in_bag"), models, label_col)
+    pred = F.array_position(F.col("votes"), F.array_max("votes")) - 1
+    voted = F.col("voters") > 0
+    summary = votes.agg(
+        F.avg(F.when(voted, (pred == F.col(label_col)).cast("double"))).alias("oob_accuracy"),
+        F.count_if(voted).cast("bigint").alias("oob_rows"),
+        F.count_if(~voted).cast("bigint").alias("rows_without_vote"),
+    ).withColumn("n_trees", F.lit(n))
     return summary, models

@@ -251,7 +251,7 @@ def q_rf_oob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     train = weighted_train(spark, sf_dir)
     train = train.withColumn("row_key", row_hash(train, ["label"] + CLEAN_FEATURES))
-    summary, _ = T.rf_oob(train, CLEAN_FEATURES, RF_PARAMS, n_trees=8)
+    summary, _ = T.rf_oob(train, CLEAN_FEATURES, RF_PARAMS)
     return summary
 
 

@@ -59,3 +59,36 @@ def test_search_draws_only_different_fits(spark):
 
     applied = [(e.getNumTrees(), e.getMaxDepth(), e.getMinInstancesPerNode()) for e in map(rf_estimator, sample_grid(SEARCH_GRID, 100))]
     assert len(set(applied)) == len(applied)
+
+
+def test_out_of_bag_votes_by_brute_force(spark):
+    import random
+
+    from flowlens.operators.train import assembler, in_bag_bits, rf_oob
+
+    rnd = random.Random(4)
+    rows = [(float(rnd.randrange(6)), float(rnd.randrange(4)), "k%d" % (i % 150), 1.0) for i in range(160)]
+    rows = [(*r, int(r[0] + r[1] > 4) + int(r[0] > 4 and r[1] > 2) if rnd.random() < 0.8 else 0) for r in rows]
+    data = spark.createDataFrame(rows, "x double, y double, row_key string, weight double, label_idx long").repartition(3)
+    n = 34
+    bags = data.select("row_key", in_bag_bits(F.col("row_key"), n).alias("bits"), *[(poisson_weight(F.col("row_key"), t) > 0).alias(f"b{t}") for t in range(n)])
+    for r in bags.collect():
+        assert [r["bits"][t // 32] >> t % 32 & 1 for t in range(n)] == [int(r[f"b{t}"]) for t in range(n)]
+    for trees in (2, 12):  # two trees leave rows without a vote, twelve take two passes
+        summary, models = rf_oob(data, ["x", "y"], {"n_estimators": trees, "max_depth": 3})
+        assert len(models) == trees
+        x = assembler(["x", "y"]).transform(data).select("*", *[(poisson_weight(F.col("row_key"), t) > 0).alias(f"b{t}") for t in range(trees)])
+        right = voted = 0
+        for r in x.collect():
+            votes = [0.0] * 3
+            for t, m in enumerate(models):
+                if not r[f"b{t}"]:
+                    for c, p in enumerate(m.predictProbability(r["features"]).toArray()):
+                        votes[c] += float(p)
+            if sum(votes):
+                voted += 1
+                votes = [round(v, 9) for v in votes]
+                right += votes.index(max(votes)) == r["label_idx"]
+        got = summary.first()
+        assert (got["oob_rows"], got["rows_without_vote"], got["n_trees"]) == (voted, 160 - voted, trees)
+        assert math.isclose(got["oob_accuracy"], right / voted, abs_tol=1e-12)
