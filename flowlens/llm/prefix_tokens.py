@@ -40,6 +40,18 @@ LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
+def _starts(i: int, start: int, first: int = 0) -> tuple[int, ...]:
+    """Where the last token of w[:i] may begin (from ``first`` on), if that of w[:i-1] begins at ``start``.
+
+    That token longer by one byte, then shorter ones, then longer ones.
+    """
+    return (*range(max(start, first), i), *range(min(start, i) - 1, first - 1, -1))
+
+
+#: The same for short words, made once.
+STARTS = [[_starts(i, start) for start in range(max(i, 1))] for i in range(33)]
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies, inverted."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,8 +140,10 @@ class PrefixCounter:
             k += 1
         del counts[k:], lasts[k:]
         ids, fits = self.ids, self.fits
+        # one last token only passes the test, so the likely ones go first: see _starts
+        start = k - len(self.token[lasts[-1]]) if k else 0
         for i in range(k + 1, len(word) + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in STARTS[i][start] if i < len(STARTS) else _starts(i, start, max(0, i - self.longest)):
                 t = ids.get(word[j:i])
                 if t is None:
                     continue
@@ -140,6 +154,7 @@ class PrefixCounter:
                 if ok:
                     counts.append(counts[j - 1] + 1 if j else 1)
                     lasts.append(t)
+                    start = j
                     break
         self._last = (word, counts, lasts)
         return counts
@@ -196,8 +211,8 @@ class PrefixCounter:
             last = 0
             if part:
                 counts, last = self._plain(part)
-                total = self._whole(part)
-                out += [base + c for c in counts]
+                total = self._whole(part) if m else 0
+                out += [base + c for c in counts] if base else counts
             else:
                 total = 0
             if m:
@@ -222,7 +237,7 @@ class PrefixCounter:
                 counts.append(counts[-1] + 1)
             else:
                 counts = self.prefix_counts(" " + name)
-            if max(counts) > 255:
+            if len(counts) > 255 and max(counts) > 255:
                 return None
             if len(self.chunks) >= KEPT_CHUNKS:
                 self.chunks.clear()
@@ -253,10 +268,27 @@ class _Joined:
         self.chars = self.tokens = self.fit = 0
         self.blank, self.blank_base = "", 0  # the white space that ends the text so far, and the count before it
 
-    def add(self, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Join chunks (no white space but the leading space) whose tables are table[start:start+size]."""
+    def add(self, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> None:
+        """Join chunks (no white space but the leading space) whose tables are table[start:start+size].
+
+        ``least``: the smallest count in each chunk's table.  If the joined table isn't kept, only the last chunk
+        that holds a prefix within the limit is expanded.
+        """
         ends = table[starts + sizes - 1].astype(np.int64)
         before = self.tokens + np.cumsum(ends) - ends
+        if self.kept is None:
+            total = int(before[-1] + ends[-1])
+            if total <= self.limit:
+                self.fit = self.chars + int(sizes.sum())
+            else:
+                inside = np.flatnonzero(before + least <= self.limit)
+                if len(inside):
+                    k = int(inside[-1])
+                    part = table[starts[k] : starts[k] + sizes[k]] + before[k]
+                    self.fit = self.chars + int(sizes[:k].sum()) + int(np.flatnonzero(part <= self.limit)[-1]) + 1
+            self.chars += int(sizes.sum())
+            self.tokens = total
+            return
         at = np.cumsum(sizes) - sizes
         part = table[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))] + np.repeat(before, sizes)
         self._push(part, int(before[-1] + ends[-1]))
@@ -303,6 +335,10 @@ def _tables(texts: pa.Array, count: PrefixCounter, limit: int, keep: bool) -> It
     table = np.frombuffer(b"".join(tables), np.uint8)
     sizes = np.fromiter(map(len, tables), np.int64, len(tables))
     starts = np.cumsum(sizes) - sizes
+    least = np.zeros(len(sizes), np.int64)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        least[filled] = np.minimum.reduceat(table, starts[filled])
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
     for d in range(len(texts)):
         joined = _Joined(count, limit, keep)
@@ -318,10 +354,10 @@ def _tables(texts: pa.Array, count: PrefixCounter, limit: int, keep: bool) -> It
         joined.add_text(names[codes[lo]])
         rest = codes[lo + 1 : hi]
         if len(rest):
-            s, n = starts[rest], sizes[rest]
+            s, n, small = starts[rest], sizes[rest], least[rest]
             cuts = np.flatnonzero(np.diff((np.cumsum(n) - 1) // JOIN_CHARS)) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(rest)]):
-                joined.add(table, s[a:b], n[a:b])
+                joined.add(table, s[a:b], n[a:b], small[a:b])
         yield joined
 
 
