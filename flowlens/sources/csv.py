@@ -96,7 +96,8 @@ def _staged(spark: SparkSession, paths: list[str], names: list[str], encoding: s
     splits = rows.groupBy(FILE, "_at").agg(F.count("*").alias("_rows"), F.min("_n").alias("_first"))
     before = Window.partitionBy(FILE).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(F.col(FILE).alias("_f"), F.col("_at").alias("_a"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    return rows.join(starts, (F.col(FILE) == F.col("_f")) & (F.col("_at") == F.col("_a"))).withColumn(
+    # one row for each split of a file: broadcast, so the rows themselves are not shuffled
+    return rows.join(F.broadcast(starts), (F.col(FILE) == F.col("_f")) & (F.col("_at") == F.col("_a"))).withColumn(
         FILE_ROW, F.col("_before") + F.col("_n") - F.col("_first")
     ).select(*cells, CORRUPT, FILE, FILE_ROW)
 
