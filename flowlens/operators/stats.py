@@ -121,8 +121,8 @@ def outliers_iqr(df: DataFrame, features: list[str], factor: float = IQR_FACTOR)
     """q1, q3, iqr, fences and the strict outside count / share per feature.
 
     Absent and non-numeric features are skipped.  Pass 1: exact quartiles.
-    Pass 2: the long rows join the P-row fence table (broadcast by AQE) and
-    count partially per task.
+    Pass 2: the long rows join the P-row fence table (broadcast) and count
+    partially per task.
     """
     numeric = set(numeric_columns(df))
     feats = [f for f in features if f in numeric]
@@ -135,7 +135,7 @@ def outliers_iqr(df: DataFrame, features: list[str], factor: float = IQR_FACTOR)
         "fences",
     )
     v = F.col("value")
-    counts = lf.join(fences.select("feature_name", "lower_bound", "upper_bound"), "feature_name").groupBy("feature_name").agg(
+    counts = lf.join(F.broadcast(fences.select("feature_name", "lower_bound", "upper_bound")), "feature_name").groupBy("feature_name").agg(
         F.count_if((v < F.col("lower_bound")) | (v > F.col("upper_bound"))).cast("bigint").alias("outlier_count"),
         F.count(F.lit(1)).cast("bigint").alias("_n"),
     )
@@ -238,7 +238,7 @@ def boxplot_stats(df: DataFrame, features: list[str], factor: float = IQR_FACTOR
     qs = _written(qs.withColumn("lo_fence", F.col("q1") - F.lit(factor) * iqr).withColumn("hi_fence", F.col("q3") + F.lit(factor) * iqr), "box-fences")
     v = F.col("value")
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-    agg = lf.join(qs.select("feature_name", "lo_fence", "hi_fence"), "feature_name").groupBy("feature_name").agg(
+    agg = lf.join(F.broadcast(qs.select("feature_name", "lo_fence", "hi_fence")), "feature_name").groupBy("feature_name").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).cast("bigint").alias("flier_count"),
